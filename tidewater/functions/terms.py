@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def comparable(values: pa.Array) -> pa.Array:
+def comparable(term: str) -> str:
     """Composed Unicode form, lower case, every run of white space as one space, none at the ends."""
-    composed = pc.utf8_lower(pc.utf8_normalize(values.cast(pa.string()), form="NFC"))
-    spaced = pc.replace_substring_regex(composed, pattern=r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", replacement=" ")
-    return pc.utf8_normalize(pc.utf8_trim(spaced, " "), form="NFC")
+    if term.isascii():
+        return " ".join(term.lower().split())
+    return unicodedata.normalize("NFC", " ".join(unicodedata.normalize("NFC", term).lower().split()))
 
 
 @F.arrow_udf(StringType())
 def term_key(values: pa.Array) -> pa.Array:
-    """Column form of :func:`comparable`; NULL stays NULL. Runs on whole Arrow arrays, no row-wise Python."""
-    return comparable(values)
+    """Column form of :func:`comparable`; NULL stays NULL. Each distinct value of an Arrow array is rewritten once."""
+    coded = values.cast(pa.string()).dictionary_encode()
+    forms = pa.array([comparable(t) for t in coded.dictionary.to_pylist()], pa.string())
+    return forms.take(coded.indices)
