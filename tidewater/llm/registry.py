@@ -6,17 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import history
-from tidewater.runtime import table
-
-
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return history.repeats(table(spark, sf, "observation"))
+from tidewater.llm import oracles, queries as q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    names = ["p2_found", "p2_appended", "p3_found", "p3_segments", "p4_found", "p4_terms", "p7_found", "p7_ranked"]
+    return {name: getattr(q, name) for name in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
