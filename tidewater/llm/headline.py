@@ -9,7 +9,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import parse_qsl, unquote, urlsplit
+from urllib.parse import parse_qsl, unquote
 
 import pandas as pd
 import xxhash
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 LABEL = re.compile(r"^\W*((?:[^\W\d_]+[^\w|:–—.]{1,2}){0,2}[^\W\d_]+)(?:\s*[:|–—]|\s+-(?=\s)|\.(?=\s))\s*(?=\S)")
 OUTLET = re.compile(r"\s[-–—|]\s+\S+(?:\s+\S+){0,2}\s*$")
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that only track where a reader came from (fixed values).
 TRACKING = {"fbclid", "gclid", "ref", "mc_cid", "mc_eid", "igshid", "cmpid", "source_ref"}
 
@@ -55,24 +54,43 @@ def url_key(url: str | None) -> str | None:
     if url is None:
         return None
     u = url.strip()
-    if u.startswith("//"):
-        u = "https:" + u
-    try:
-        p = urlsplit(u)
-        host, port = (p.hostname or "").lower(), p.port
-    except ValueError:
+    scheme, colon, rest = u.partition("//")
+    scheme = scheme.lower()
+    if not colon or (scheme and not scheme.endswith(":")):
         return None
-    if not host or not p.scheme:
-        return None
-    scheme = "" if p.scheme.lower() in ("http", "https") else p.scheme.lower() + "://"
+    rest = rest.partition("#")[0]
+    where, _, query = rest.partition("?")
+    host, _, path = where.partition("/")
+    host = host.rpartition("@")[2].lower()
+    if host.endswith((":443", ":80")):
+        host = host.rpartition(":")[0]
     host = host.removeprefix("www.")
-    if port and port not in (80, 443):
-        host += f":{port}"
-    path = unquote(p.path).rstrip("/") if "%" in p.path else p.path.rstrip("/")
-    if not p.query:
-        return scheme + host + path
-    q = sorted((k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in TRACKING)
-    return scheme + host + path + "?" + "&".join(f"{k}={v}" for k, v in q)
+    if not host:
+        return None
+    if scheme not in ("", "http:", "https:"):
+        host = scheme + host
+    if "%" in path:
+        path = unquote(path)
+    key = f"{host}/{path.rstrip('/')}"
+    if not query:
+        return key
+    kept = sorted(f"{k}={v}" for k, v in parse_qsl(query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in TRACKING) if "%" in query or "+" in query else sorted(x for x in query.split("&") if x and not x.lower().startswith("utm_") and x.partition("=")[0].lower() not in TRACKING)
+    return f"{key}?{'&'.join(kept)}" if kept else key
+
+
+def _cuts(word: str) -> set[str]:
+    """The word, and the word without any one letter: words one slip apart have one of these in common."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def one_slip(a: str, b: str) -> bool:
+    """Whether one letter inserted, left out, replaced or swapped with the next turns ``a`` into ``b``."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    if len(a) < len(b):
+        return len(b) - len(a) == 1 and a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
 
 
 class Lexicon:
@@ -83,7 +101,12 @@ class Lexicon:
 
     def __init__(self, shares: dict[str, float], capital: set[str], labels: set[str], established: float) -> None:
         self.shares, self.capital, self.labels, self.established = shares, capital, labels, established
-        self.cache: dict[tuple[str, bool], str] = {}
+        self.forms: tuple[dict[str, str], dict[str, str]] = ({}, {})
+        self.cuts: dict[str, list[str]] = {}
+        for w in shares:
+            if len(w) > 3:
+                for cut in _cuts(w):
+                    self.cuts.setdefault(cut, []).append(w)
 
     def canonical(self, word: str, as_name: bool) -> str:
         """``word``, or the ordinary word that it is one slip of the pen away from.
@@ -92,16 +115,9 @@ class Lexicon:
         """
         if word in self.shares or not word.isalpha() or len(word) < 4:
             return word
-        key = (word, as_name)
-        if key not in self.cache:
-            cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
-            near = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
-            near |= {a + c + b[1:] for a, b in cuts if b for c in LETTERS} | {a + c + b for a, b in cuts for c in LETTERS}
-            found = [w for w in near if len(w) > 3 and w in self.shares and (not as_name or w in self.capital)]
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            self.cache[key] = max(found, key=lambda w: (self.shares[w], w)) if found else word
-        return self.cache[key]
+        near = {w for cut in _cuts(word) for w in self.cuts.get(cut, ())}
+        found = [w for w in near if (not as_name or w in self.capital) and one_slip(word, w)]
+        return max(found, key=lambda w: (self.shares[w], w)) if found else word
 
     def tokens(self, title: str) -> list[str]:
         """Canonical words of a headline without label and outlet."""
@@ -111,9 +127,19 @@ class Lexicon:
             text = rest
         text = OUTLET.sub("", text)
         raw = WORD.findall(text)
-        words = raw if text.isascii() else [_plain_word(w) for w in raw]
+        # the first word, and all words of titles in one case, tell nothing by their capitals
         mixed = not (text.islower() or text.isupper()) and any(w[0].islower() and len(w) > 3 for w in raw[1:])
-        return [self.canonical(w.lower() if w.isascii() else _plain_word(w), mixed and i > 0 and r[0].isupper()) for i, (w, r) in enumerate(zip(words, raw))]
+        plain, cased = self.forms
+        out = [plain.get(raw[0]) or self._form(raw[0], False)] if raw else []
+        known = cased if mixed else plain
+        return out + [known.get(w) or self._form(w, mixed) for w in raw[1:]]
+
+    def _form(self, raw: str, mixed: bool) -> str:
+        kept = self.forms[mixed]
+        if len(kept) > 300_000:
+            kept.clear()
+        word = kept[raw] = self.canonical(raw.lower() if raw.isascii() else _plain_word(raw), mixed and raw[0].isupper())
+        return word
 
     def ordinary(self, word: str) -> bool:
         return word in self.shares
