@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.days import figure, parse_day
 from tidewater.functions.terms import term_key
-from tidewater.llm import frequency, history, language, topn
+from tidewater.llm import encoding, frequency, history, language, leakage, packing, topn
 from tidewater.operators.latest import latest_by
 from tidewater.runtime import table, written
 
@@ -72,3 +72,38 @@ def p7_ranked(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_ranked(spark, sf).select("chart_date", "board", "term")
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, piece, begin, end, tokens, label, capacity_tokens, bucket, container of every text."""
+    kinds = {r.capacity_tokens: r.label for r in table(spark, sf, "containers").where(F.col("capacity_tokens") > 0).orderBy("container_id").collect()}  # the kinds of containers, a handful
+    pieces = packing.sized_pieces(table(spark, sf, "documents"), ["doc_id"], max(kinds, default=1))
+    placed = packing.pack(pieces, list(kinds), ["doc_id"])
+    label = F.create_map(*[F.lit(x) for c, name in kinds.items() for x in (c, name)]) if kinds else F.create_map()
+    return placed.withColumn("label", label[F.col("capacity")]).withColumnRenamed("capacity", "capacity_tokens")
+
+
+def p8_use(spark: SparkSession, sf: str) -> DataFrame:
+    """label, containers, pieces, tokens, room, unused_share by kind of container."""
+    by = p8_containers(spark, sf).groupBy("label", "capacity_tokens", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    out = by.groupBy("label").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.sum("capacity_tokens").cast("long").alias("room"))
+    return out.withColumn("unused_share", F.round(1 - F.col("tokens") / F.col("room"), 6))
+
+
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, item_id, matched, matched_rare, run, run_rare, begin, end of every leak."""
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), ["doc_id"])
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, restored, pieces, unrestorable of every garbled text."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return encoding.repair(documents, encoding.fit_information(documents), ["doc_id"])
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_restored(spark, sf).select("doc_id")

@@ -10,7 +10,7 @@ from tidewater.llm import oracles, queries as q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ["p2_found", "p2_appended", "p3_found", "p3_segments", "p4_found", "p4_terms", "p7_found", "p7_ranked"]
+    names = ["p2_found", "p2_appended", "p3_found", "p3_segments", "p4_found", "p4_terms", "p7_found", "p7_ranked", "p8_containers", "p8_use", "p9_found", "p9_leaks", "p10_found", "p10_restored"]
     return {name: getattr(q, name) for name in names}
 
 
