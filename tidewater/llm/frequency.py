@@ -53,7 +53,8 @@ def text_blocks(df: DataFrame, column: str, scope: str) -> DataFrame:
                 records.update(set(found))
             if len(occurrences) >= BLOCK:
                 yield block()
-        yield block()
+        if occurrences:
+            yield block()
 
     return df.select(column).where(F.col(column).isNotNull()).mapInPandas(count, BLOCK_SCHEMA)
 
@@ -75,7 +76,8 @@ def row_blocks(df: DataFrame, scope: str) -> DataFrame:
                 occurrences[term] += n
             if len(records) >= BLOCK:
                 yield block()
-        yield block()
+        if records:
+            yield block()
 
     return df.select("term", "figure").where(F.col("term").isNotNull()).mapInPandas(count, BLOCK_SCHEMA)
 

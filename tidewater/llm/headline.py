@@ -173,7 +173,8 @@ def fit_lexicon(titles: DataFrame, *, lower_share: float = 3e-5, any_share: floa
                     lower.update({w if w.isascii() else _plain_word(w) for w in raw if w.islower()})
             if len(total) > 300_000:
                 yield out()
-        yield out()
+        if total:
+            yield out()
 
     parts = titles.select("title").where(F.col("title").isNotNull()).mapInPandas(count, "word string, n long, low long")
     counts = parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))

@@ -68,16 +68,36 @@ def item_rows(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     return items.select("obs_id", "title", "url").mapInPandas(rows, ITEM_SCHEMA)
 
 
+#: Headlines longer than this are aligned step by step, so that time stays in proportion to their length.
+LONG = 200
+
+
+def operations(a: list[str], b: list[str]) -> list[tuple[list[str], list[str]]]:
+    """The parts of ``a`` and ``b`` that stand against each other between equal words."""
+    if max(len(a), len(b)) <= LONG:
+        return [(a[i:j], b[k:m]) for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op != "equal"]
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        # the nearest place where both go on alike; within the radius it is at most that many words away
+        steps = sorted(((x, y) for x in range(RADIUS + 2) for y in range(RADIUS + 2) if x + y), key=lambda s: (sum(s), s))
+        x, y = next(((x, y) for x, y in steps if a[i + x : i + x + 2] == b[j + y : j + y + 2] and i + x <= len(a) and j + y <= len(b)), (len(a) - i, len(b) - j))
+        out.append((a[i : i + x], b[j : j + y]))
+        i, j = i + x, j + y
+    return out
+
+
 def same_story(a: list[str], b: list[str], lexicon: Lexicon) -> bool:
     """Whether two headlines with the same identifying words within RADIUS differ in wording only.
 
     Words may be left out, added, or replaced by a similar or by a rare ordinary word; an ordinary word in the place of
     another one that is as established is another subject.
     """
-    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op != "replace":
+    for x, y in operations(a, b):
+        if not x or not y:
             continue
-        x, y = a[i:j], b[k:m]
         if len(x) == len(y) and all(difflib.SequenceMatcher(None, p, q).ratio() > 0.8 or min(lexicon.shares.get(p, 0), lexicon.shares.get(q, 0)) < lexicon.established for p, q in zip(x, y)):
             continue
         if len(x) != len(y) and max(len(x), len(y)) <= 3 and min(lexicon.shares.get(w, 0) for w in x + y) < lexicon.established:
@@ -145,7 +165,8 @@ def pairs_in_ranges(new: DataFrame, known: DataFrame | None, lexicon: Lexicon) -
                 a, b = t.split(" "), v.split(" ")
                 named = any(not lexicon.ordinary(w) for w in a)
                 keep.append(true_distance(a, b, lexicon) <= (RADIUS if named else 1) and same_story(a, b, lexicon))
-            yield batch.loc[keep, ["a_s", "b_s"]].rename(columns={"a_s": "a", "b_s": "b"})
+            if any(keep):
+                yield batch.loc[keep, ["a_s", "b_s"]].rename(columns={"a_s": "a", "b_s": "b"})
 
     return few.unionByName(many).mapInPandas(verify, "a long, b long").distinct()
 

@@ -187,6 +187,8 @@ def detect(df: DataFrame, column: str, keys: list[str], filters: Filters, *, gai
                     end.append(places[b] if j + 1 < len(parts) else len(texts[i]))
                     lang.append(LANGUAGES[best] if known else None)
                     conf.append(float(1 / (1 + np.exp(min(50.0, rest - score[best])))) if known else 0.0)
+            if not rows:
+                continue
             out = {k: batch[k].to_numpy()[rows] for k in keys}
             yield pd.DataFrame(out | {"segment": np.array(seg, dtype="int32"), "parts": np.array(count, dtype="int32"), "begin": np.array(begin, dtype="int32"), "end": np.array(end, dtype="int32"), "detected": lang, "confidence": conf})
             if len(table) > 800_000:

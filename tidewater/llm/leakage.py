@@ -159,6 +159,8 @@ def candidates(documents: DataFrame, items: Items, keys: list[str]) -> DataFrame
                     length, length_rare = longest_run(pairs, own, items.rare)
                     at.append(k)
                     out.append((item, len(pairs) / len(own), sum(own[i] in items.rare for i, _ in pairs) / max(1, names), length, length_rare, a + pairs[0][1], a + pairs[-1][1] + 1))
+            if not out:
+                continue
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in LEAK_SCHEMA.split(", ")]).astype({"run": "int32", "run_rare": "int32", "begin": "int32", "end": "int32"})
             yield pd.DataFrame({k: batch[k].to_numpy()[at] for k in keys} | {c: frame[c] for c in frame})
 

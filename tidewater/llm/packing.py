@@ -60,6 +60,8 @@ def sized_pieces(df: DataFrame, keys: list[str], capacity: int, *, vocabulary: s
                     end.append(hi)
                     number.append(seen[hi - lo])
                     seen[hi - lo] += 1
+            if not at:
+                continue
             b, e = np.array(begin, dtype="int32"), np.array(end, dtype="int32")
             yield pd.DataFrame({k: batch[k].to_numpy()[at] for k in keys} | {"piece": np.array(piece, dtype="int32"), "begin": b, "end": e, "tokens": e - b, "task": np.full(len(b), task, dtype="int32"), "number": np.array(number, dtype="int64")})
 
