@@ -127,33 +127,34 @@ def detect(df: DataFrame, column: str, keys: list[str], filters: Filters, *, gai
     have language NULL and confidence 0. Confidence is the share of the best language against the runner-up.
     """
     kinds = dict(df.dtypes)
-    span = np.arange(len(LANGUAGES))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
-        table: list[list[float]] = []
+        table, used = np.zeros((1 << 14, len(LANGUAGES))), 0
         for batch in batches:
             texts = [OUTLET.sub("", unescaped(t)) for t in batch[column]]
-            ids, places, sizes = [], [], []
+            ids, sizes = [], []
+            known = memo.get
             for text in texts:
-                k = 0
-                for m in WORD.finditer(text):
-                    w = folded(m.group())
-                    i = memo.get(w)
+                found = WORD.findall(text)
+                for raw in found:
+                    i = known(raw)
                     if i is None:
-                        if len(memo) > 400_000:
-                            # identifiers already given in this batch stay valid: the table only grows until the batch ends
-                            memo.clear()
-                        i = memo[w] = len(table)
-                        table.append(filters.shares(w))
+                        w = folded(raw)
+                        i = known(w)
+                        if i is None:
+                            if used == len(table):
+                                table = np.vstack([table, np.zeros_like(table)])
+                            table[used] = filters.shares(w)
+                            i = memo[w] = used
+                            used += 1
+                        memo[raw] = i
                     ids.append(i)
-                    places.append(m.start())
-                    k += 1
-                sizes.append(k)
+                sizes.append(len(found))
             sizes = np.array(sizes, dtype=int)
             ends = np.cumsum(sizes)
             starts = ends - sizes
-            x = np.array(table)[ids] if ids else np.zeros((0, len(LANGUAGES)))
+            x = table[ids] if ids else np.zeros((0, len(LANGUAGES)))
             cum = np.vstack([np.zeros((1, len(LANGUAGES))), np.cumsum(x, axis=0)])
             total = cum[ends] - cum[starts]
             single = total.max(axis=1)
@@ -172,28 +173,40 @@ def detect(df: DataFrame, column: str, keys: list[str], filters: Filters, *, gai
                 first = order[np.searchsorted(owner[order], np.arange(len(texts)), side="left").clip(max=len(owner) - 1)]
                 hit = (owner[first] == np.arange(len(texts))) & (better[first] > 0)
                 cut[hit] = here[first][hit]
-            rows, seg, count, begin, end, lang, conf = [], [], [], [], [], [], []
+            rows, seg, count, begin, end = [], [], [], [], []
+            low, high = [], []
             for i in range(len(texts)):
-                parts = [(starts[i], ends[i])] if cut[i] < 0 else [(starts[i], starts[i] + cut[i]), (starts[i] + cut[i], ends[i])]
-                for j, (a, b) in enumerate(parts):
-                    score = cum[b] - cum[a]
-                    best = int(score.argmax())
-                    rest = score[span != best].max()
-                    known = b > a and score[best] > rest
+                if cut[i] < 0:
                     rows.append(i)
-                    seg.append(j)
-                    count.append(len(parts))
-                    begin.append(places[a] if j else 0)
-                    end.append(places[b] if j + 1 < len(parts) else len(texts[i]))
-                    lang.append(LANGUAGES[best] if known else None)
-                    conf.append(float(1 / (1 + np.exp(min(50.0, rest - score[best])))) if known else 0.0)
+                    seg.append(0)
+                    count.append(1)
+                    begin.append(0)
+                    end.append(len(texts[i]))
+                    low.append(starts[i])
+                    high.append(ends[i])
+                    continue
+                place = [m.start() for m in WORD.finditer(texts[i])][cut[i]]
+                rows += [i, i]
+                seg += [0, 1]
+                count += [2, 2]
+                begin += [0, place]
+                end += [place, len(texts[i])]
+                low += [starts[i], starts[i] + cut[i]]
+                high += [starts[i] + cut[i], ends[i]]
+            score = cum[high] - cum[low] if rows else np.zeros((0, len(LANGUAGES)))
+            ordered = np.sort(score, axis=1)
+            lead = np.minimum(50.0, ordered[:, -1] - ordered[:, -2])
+            sure = lead > 1e-9
+            names = np.array(LANGUAGES, dtype=object)[score.argmax(axis=1)]
+            lang = [n if ok else None for n, ok in zip(names, sure)]
+            conf = np.where(sure, 1 / (1 + np.exp(-lead)), 0.0)
             if not rows:
                 continue
             out = {k: batch[k].to_numpy()[rows] for k in keys}
             yield pd.DataFrame(out | {"segment": np.array(seg, dtype="int32"), "parts": np.array(count, dtype="int32"), "begin": np.array(begin, dtype="int32"), "end": np.array(end, dtype="int32"), "detected": lang, "confidence": conf})
-            if len(table) > 800_000:
+            if used > 800_000 or len(memo) > 1_500_000:
                 memo.clear()
-                table.clear()
+                used = 0
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + SEGMENT_SCHEMA
     return df.select(*keys, column).where(F.col(column).isNotNull()).mapInPandas(run, schema)
