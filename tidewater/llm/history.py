@@ -233,17 +233,24 @@ class History:
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path, self.lexicon, self.batches = spark, path or new_path(spark, "history"), None, 0
 
+    def _before(self, name: str) -> DataFrame:
+        """What earlier batches stored, read by the partitions of the batches."""
+        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch") < self.batches).drop("batch")
+
     def append(self, items: DataFrame) -> DataFrame:
         if self.lexicon is None:
             self.lexicon = fit_lexicon(items)
         rows = written(item_rows(items, self.lexicon), "batch")
         heads = headlines(rows).where(F.col("t").isNotNull()).drop("n")
-        old = self.spark.read.parquet(f"{self.path}/rows") if self.batches else None
+        old = self._before("rows") if self.batches else None
         if old is None:
             known, edges = None, _links(rows)
         else:
-            # copies in the stored table are rows of one headline; stories are stored as the root of each row
-            known = headlines(old).where(F.col("t").isNotNull()).drop("n")
+            # of the stored headlines only those in ranges that the batch reaches go on; a small batch's ranges are sent to
+            # where the history lies, so that the history is read, but not moved
+            cell = F.shiftright("d0", SCALE.bit_length() - 1)
+            ranges = heads.select(F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+            known = self._before("heads").withColumn("cell", cell).join(ranges, "cell", "left_semi").drop("cell")
             reach = rows.select("u").distinct()
             edges = _links(rows.select("s", "u").unionByName(old.select("s", "u").join(reach, "u", "left_semi")))
         edges = edges.unionByName(pairs_in_ranges(heads, known, self.lexicon))
@@ -257,11 +264,10 @@ class History:
         named = base.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
         firsts = named.groupBy("root").agg(F.min("first").alias("story"))
         kept = rows.join(named.select("s", "root").join(firsts, "root").select("s", "story"), "s")
-        kept.select("obs_id", "s", "u", "d0", "p1", "p2", "t", "story").write.mode("append").parquet(f"{self.path}/rows")
+        # each batch has folders of its own, so a batch that is run again replaces itself
+        kept.select("obs_id", "s", "u", "story").write.mode("overwrite").parquet(f"{self.path}/rows/batch={self.batches}")
+        fresh = heads if known is None else heads.join(known.select("s"), "s", "left_anti")
+        fresh.select("s", "d0", "p1", "p2", "t").write.mode("overwrite").parquet(f"{self.path}/heads/batch={self.batches}")
+        stored = self.spark.read.parquet(f"{self.path}/rows/batch={self.batches}")
         self.batches += 1
-        ids = rows.agg(F.min("obs_id"), F.max("obs_id")).first()
-        stored = self.spark.read.parquet(f"{self.path}/rows")
-        if ids[0] is None:
-            return stored.limit(0).select(F.col("story").alias("first_obs_id"), "obs_id")
-        fresh = stored.where(F.col("obs_id").between(ids[0], ids[1])).join(rows.select("obs_id"), "obs_id", "left_semi")
-        return fresh.where(F.col("story") < F.col("obs_id")).select(F.col("story").alias("first_obs_id"), "obs_id")
+        return stored.where(F.col("story") < F.col("obs_id")).select(F.col("story").alias("first_obs_id"), "obs_id")
