@@ -56,7 +56,7 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]]
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for uri in batch["file"]:
-                where, name = pafs.FileSystem.from_uri(uri)
+                where, name = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
                 with where.open_input_file(name) as source:
                     data = pq.ParquetFile(source)
                     names = data.schema_arrow.names
