@@ -124,6 +124,19 @@ def test_leaks_whole_edited_and_in_part_but_not_by_wording(spark):
     assert got == {(0, 1), (1, 1), (2, 1), (3, 1), (8, 1)}
 
 
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
+    body = ITEM.split(". ", 1)[1]
+    ws = body.split()
+    docs = [f"Page {i} of the collection. {body} Number {i} ends." for i in range(25)]
+    # one word in ten changed: no run of twelve words is left
+    docs += [" ".join(f"z{i}q" if (k + i) % 10 == 0 else w for k, w in enumerate(ws)) for i in range(12)]
+    docs += [" ".join(ws[3:17])]
+    other = body
+    for name, new in zip(["Hiklawu", "Talumal", "8315", "Kymidrim", "Vopasor", "Kriquuhyx", "Zasivan"], ["Abru", "Cedri", "77", "Efgo", "Hijk", "Lmno", "Pqrs"]):
+        other = other.replace(name, new)
+    assert leak_rows(spark, [*docs, other, ""]) == {(i, 1) for i in range(len(docs))}
+
+
 def test_leaks_of_nothing(spark):
     assert leak_rows(spark, ["some text"], items=[]) == set()
     assert leak_rows(spark, [], items=None) == set()

@@ -1,8 +1,10 @@
 """Evaluation passages in training texts: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Which words of the test items are rare is counted over all documents. An n-gram of an item that holds a rare word is a
-seed; a document that holds a seed is aligned with the item around the place of the seeds. The alignment's matches, and
-among them those of rare words, decide, so that wording alone, with other names and figures, is no leak.
+Which words of the test items are rare is counted over all documents, outside of the places that hold an item, so that
+an item's names stay rare however often it leaked. An n-gram of an item that holds a rare word is a seed; a document that
+holds a seed is aligned with the item around the place of the seeds. The alignment's matches, and among them those of rare
+words, decide, so that wording alone, with other names and figures, is no leak. Runs of RUN words and whole items that
+stand there word for word are leaks whatever their words; every such run holds one of the item's marks, which are seeds too.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 MARKS = re.compile("[̀-ͯ]+")
 SENTENCE = re.compile(r"[^.!?:]+[.!?:]+\s*")
 SEED = 3
+#: So many words of an item in a row are a leak.
+RUN = 12
 MATCH, MISS, GAP = 2, -1, -1
 #: Words of test items that are held in the driver and sent to every task at once; more are handled in further rounds.
 ITEM_WORDS = 2_000_000
@@ -45,37 +49,102 @@ class Items:
             body = text[m.end() :] if m and firsts[m.group().strip()] >= shared and len(words(text[m.end() :])) >= 5 else text
             self.words[item] = words(body)
         self.vocabulary = {w for ws in self.words.values() for w in ws}
+        # of every RUN words in a row the one least used in the items is a mark, so that no run is without one
+        often = Counter(w for ws in self.words.values() for w in ws)
+        spots = defaultdict(set)
+        for item, ws in self.words.items():
+            for i in range(max(1, len(ws) - RUN + 1) if ws else 0):
+                at = min(range(i, min(i + RUN, len(ws))), key=lambda k: (often[ws[k]], ws[k]))
+                spots[ws[at]].add((item, at))
+        self.spots = {w: sorted(places) for w, places in spots.items()}
         self.rare: set[str] = set()
         self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = {}
 
     def set_rare(self, rare: set[str]) -> None:
         self.rare = rare
+        anchors = rare | self.spots.keys()
         seeds = defaultdict(list)
         for item, ws in self.words.items():
             for i in range(len(ws) - SEED + 1):
                 gram = tuple(ws[i : i + SEED])
-                if any(w in rare for w in gram):
+                if any(w in anchors for w in gram):
                     seeds[gram].append((item, i))
             if 0 < len(ws) < SEED:
                 seeds[tuple(ws)].append((item, 0))
         self.seeds = dict(seeds)
-        # the rare word first met decides where a seed is looked up
-        self.anchors = rare
+        # the rare word or mark first met decides where a seed is looked up
+        self.anchors = anchors
+
+    def runs(self, ws: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """item, place in the item, place in ``ws`` and length of every run of RUN words, or the whole item, word for word."""
+        done: dict[tuple[int, int], int] = {}
+        for j, w in enumerate(ws):
+            for item, i in self.spots.get(w, ()):
+                if done.get((item, j - i), 0) > j:
+                    continue
+                own, lo, hi = self.words[item], 0, 1
+                while lo < min(i, j) and own[i - lo - 1] == ws[j - lo - 1]:
+                    lo += 1
+                while i + hi < len(own) and j + hi < len(ws) and own[i + hi] == ws[j + hi]:
+                    hi += 1
+                done[item, j - i] = j + hi
+                if lo + hi >= min(RUN, len(own)):
+                    yield item, i - lo, j - lo, lo + hi
+
 
+def margin(own: list[str]) -> int:
+    """How far words added or left out may move a place of an item."""
+    return len(own) // 3 + 8
 
-def rare_words(documents: DataFrame, vocabulary: set[str], *, share: float = 0.005, least: int = 5) -> set[str]:
-    """The words of ``vocabulary`` in at most the share ``share`` of all documents (``least`` documents at least)."""
+
+def rare_words(documents: DataFrame, items: Items, *, share: float = 0.005, least: int = 5, whole: float = 0.75, whole_rare: float = 0.6) -> set[str]:
+    """The words of the items in at most the share ``share`` of all documents (``least`` documents at least), apart from the
+    places that hold an item: around its runs of RUN words, and, if an item has many of these, in documents with ``whole``
+    of its words and ``whole_rare`` of the quarter of them that is least used elsewhere."""
+    vocabulary, marks = items.vocabulary, items.spots.keys()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, n = Counter(), 0
+        found, copies, n = Counter(), Counter(), 0
         for batch in batches:
             for text in batch["text"]:
-                found.update(vocabulary.intersection(words(text)))
+                ws = words(text)
+                here = vocabulary.intersection(ws)
+                if not marks.isdisjoint(here) and (runs := list(items.runs(ws))):
+                    held = np.zeros(len(ws), dtype=bool)
+                    for item, i, j, _ in runs:
+                        own = items.words[item]
+                        held[max(0, j - i - margin(own)) : j - i + len(own) + margin(own)] = True
+                    here = vocabulary.intersection(w for w, h in zip(ws, held.tolist()) if not h)
+                    copies.update({r[0] for r in runs})
+                found.update(here)
             n += len(batch)
-        yield pd.DataFrame({"word": [*found, "\0"], "n": [*found.values(), n]})
+        yield pd.DataFrame({"word": [*found, *(f"\0{i}" for i in copies), "\0"], "n": [*found.values(), *copies.values(), n]})
+
+    # at most one row per word of the items, and one per item
+    counts = {r.word: r.n for r in documents.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    n = counts.pop("\0", 0)
+    most = max(least, share * n)
+    hot = {}
+    for item, ws in items.words.items():
+        if counts.get(f"\0{item}", 0) > max(least, share * n / 5):
+            own = sorted(set(ws), key=lambda w: (counts.get(w, 0), w))
+            hot[item] = set(own), set(own[: max(3, len(own) // 4)])
+
+    def count_edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                ws = words(text)
+                here = vocabulary.intersection(ws)
+                near = [item for item, (own, names) in hot.items() if len(names & here) >= whole_rare * len(names) and len(own & here) >= whole * len(own)]
+                if near:
+                    exact = {r[0] for r in items.runs(ws)}
+                    held.update({w for item in near if item not in exact for w in hot[item][0] & here})
+        yield pd.DataFrame({"word": list(held), "n": list(held.values())}).astype({"word": object, "n": "int64"})
 
-    counts = {r.word: r.n for r in documents.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # at most one row per word of the items
-    most = max(least, share * counts.pop("\0", 0))
+    if hot:
+        for r in documents.mapInPandas(count_edited, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            counts[r.word] = counts.get(r.word, 0) - r.n
     return {w for w in vocabulary if counts.get(w, 0) <= most}
 
 
@@ -141,7 +210,7 @@ def candidates(documents: DataFrame, items: Items, keys: list[str]) -> DataFrame
                             places[item].append(j - offset)
                 for item, starts in places.items():
                     own = items.words[item]
-                    pad = len(own) // 3 + 8
+                    pad = margin(own)
                     # places of one item that lie apart are aligned apart; the best one counts
                     starts.sort()
                     best, lo = None, starts[0]
@@ -168,9 +237,9 @@ def candidates(documents: DataFrame, items: Items, keys: list[str]) -> DataFrame
     return documents.select(*keys, "text").where(F.length("text") > 0).mapInPandas(run, schema)
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, keys: list[str], *, whole: float = 0.75, whole_rare: float = 0.6, row: int = 12, row_rare: int = 1) -> DataFrame:
-    """The candidates that are leaks: the whole item with at most some words changed (``whole`` of its words and
-    ``whole_rare`` of its rare ones match in order), or ``row`` words in a row with ``row_rare`` rare ones among them.
+def leaks(documents: DataFrame, eval_items: DataFrame, keys: list[str], *, whole: float = 0.75, whole_rare: float = 0.6, row: int = RUN) -> DataFrame:
+    """The candidates that are leaks: the whole item word for word or with at most some words changed (``whole`` of its
+    words and ``whole_rare`` of its rare ones match in order), or ``row`` words in a row.
 
     documents: keys, text; eval_items: item_id, text (NULL and empty items match nothing). Items are taken in rounds of at
     most ITEM_WORDS words, each against all documents. Equal documents each have their rows; extra columns are ignored.
@@ -180,9 +249,9 @@ def leaks(documents: DataFrame, eval_items: DataFrame, keys: list[str], *, whole
 
     def found(part: list[tuple[int, str]]) -> DataFrame:
         items = Items(part)
-        items.set_rare(rare_words(texts.select("text"), items.vocabulary))
+        items.set_rare(rare_words(texts.select("text"), items, whole=whole, whole_rare=whole_rare))
         pairs = candidates(texts, items, keys)
-        return pairs.where(((F.col("matched") >= whole) & (F.col("matched_rare") >= whole_rare)) | ((F.col("run") >= row) & (F.col("run_rare") >= row_rare)))
+        return pairs.where(((F.col("matched") >= whole) & (F.col("matched_rare") >= whole_rare)) | (F.col("matched") == 1) | (F.col("run") >= row))
 
     for r in eval_items.select("item_id", "text").where(F.length("text") > 0).orderBy("item_id").toLocalIterator():
         rows.append((r.item_id, r.text))
