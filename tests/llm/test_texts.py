@@ -137,6 +137,16 @@ def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
     assert leak_rows(spark, [*docs, other, ""]) == {(i, 1) for i in range(len(docs))}
 
 
+def test_leaks_at_any_place_of_a_document(spark):
+    ws = ITEM.split(". ", 1)[1].split()
+    exact = " ".join(ws[3:16])
+    # most names left out and single words changed: more matches than the exact run has, but no leak
+    scattered = " ".join(w if k % 5 or 8 < k < 14 else "elsewhere" for k, w in enumerate(ws) if w not in ("8315", "Kymidrim", "Vopasor", "Kriquuhyx", "Zasivan"))
+    far = " ".join(f"w{i}" for i in range(200))
+    docs = [f"{scattered} {far} {exact} end", f"x {exact} {far} {scattered}", f"{scattered} so {exact} end", scattered]
+    assert leak_rows(spark, docs) == {(0, 1), (1, 1), (2, 1)}
+
+
 def test_leaks_of_nothing(spark):
     assert leak_rows(spark, ["some text"], items=[]) == set()
     assert leak_rows(spark, [], items=None) == set()

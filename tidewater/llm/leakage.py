@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -189,11 +190,35 @@ def longest_run(pairs: list[tuple[int, int]], item: list[str], rare: set[str]) -
 LEAK_SCHEMA = "item_id long, matched double, matched_rare double, run int, run_rare int, begin int, end int"
 
 
-def candidates(documents: DataFrame, items: Items, keys: list[str]) -> DataFrame:
+def candidates(documents: DataFrame, items: Items, keys: list[str], *, whole: float = 0.75, whole_rare: float = 0.6, row: int = RUN) -> DataFrame:
     """keys, item_id, matched and matched_rare (shares of the item's words), run, run_rare, begin, end (word positions in
-    the document) of every document and item that share a seed. Whole texts are read; NULL and empty texts have no row."""
+    the document) of every document and item that share a seed, from the place that is a leak and matches most, else from
+    the one that matches most. Whole texts are read; NULL and empty texts have no row."""
     kinds = dict(documents.dtypes)
 
+    def measured(own: list[str], names: int, a: int, pairs: list[tuple[int, int]]) -> tuple:
+        length, length_rare = longest_run(pairs, own, items.rare)
+        return (len(pairs) / len(own), sum(own[i] in items.rare for i, _ in pairs) / max(1, names), length, length_rare, a + pairs[0][1], a + pairs[-1][1] + 1)
+
+    def leak(place: tuple) -> bool:
+        matched, matched_rare, length = place[:3]
+        return (matched >= whole and matched_rare >= whole_rare) or matched == 1 or length >= row
+
+    def aligned(own: list[str], names: int, ws: list[str], hits: list[int], a: int, b: int) -> Iterator[tuple]:
+        """The best alignment inside ws[a:b]; if that is no leak, also those of what lies before and after it."""
+        parts = [(a, b)]
+        while parts:
+            a, b = parts.pop()
+            pairs = align(own, ws[a:b])
+            if not pairs:
+                continue
+            yield (place := measured(own, names, a, pairs))
+            if not leak(place):
+                # every part has a seed of its own and room for a leak, so there are at most as many parts as seeds
+                for lo, hi in ((a, place[4]), (place[5], b)):
+                    if hi - lo >= min(row, whole * len(own)) and bisect_left(hits, lo) < bisect_left(hits, hi):
+                        parts.append((lo, hi))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds, anchors = items.seeds, items.anchors
         for batch in batches:
@@ -201,33 +226,37 @@ def candidates(documents: DataFrame, items: Items, keys: list[str]) -> DataFrame
             for k, text in enumerate(batch["text"]):
                 ws = words(text)
                 hits = [i for i, w in enumerate(ws) if w in anchors]
-                places: dict[int, list[int]] = defaultdict(list)
+                places: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 seen = -1
                 for i in hits:
                     for j in range(max(i - SEED + 1, seen + 1, 0), i + 1):
                         seen = j
                         for item, offset in seeds.get(tuple(ws[j : j + SEED]), ()):
-                            places[item].append(j - offset)
+                            places[item].append((j - offset, j))
+                if not places:
+                    continue
+                exact: dict[int, tuple[int, int, int]] = {}
+                for item, i, j, n in items.runs(ws):
+                    exact[item] = max(exact.get(item, (0, 0, 0)), (n, i, j))
                 for item, starts in places.items():
                     own = items.words[item]
+                    names = sum(w in items.rare for w in own)
                     pad = margin(own)
-                    # places of one item that lie apart are aligned apart; the best one counts
+                    # places of one item that lie apart are aligned apart; the best leak counts, however much others match
                     starts.sort()
-                    best, lo = None, starts[0]
-                    for s, nxt in zip(starts, [*starts[1:], None]):
+                    of_item = sorted(j for _, j in starts)
+                    found, lo = [], starts[0][0]
+                    for (s, _), nxt in zip(starts, [*[s for s, _ in starts[1:]], None]):
                         if nxt is None or nxt - s > pad:
-                            a, b = max(0, lo - pad), min(len(ws), s + len(own) + pad)
-                            pairs = align(own, ws[a:b])
-                            if pairs and (best is None or len(pairs) > len(best[1])):
-                                best = (a, pairs)
+                            found += aligned(own, names, ws, of_item, max(0, lo - pad), min(len(ws), s + len(own) + pad))
                             lo = nxt
-                    if best is None:
-                        continue
-                    a, pairs = best
-                    names = sum(w in items.rare for w in own)
-                    length, length_rare = longest_run(pairs, own, items.rare)
-                    at.append(k)
-                    out.append((item, len(pairs) / len(own), sum(own[i] in items.rare for i, _ in pairs) / max(1, names), length, length_rare, a + pairs[0][1], a + pairs[-1][1] + 1))
+                    if item in exact:
+                        # an alignment may go past the longest run
+                        n, i, j = exact[item]
+                        found.append(measured(own, names, 0, [(i + x, j + x) for x in range(n)]))
+                    if found:
+                        at.append(k)
+                        out.append((item, *max(found, key=lambda place: (leak(place), place[0]))))
             if not out:
                 continue
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in LEAK_SCHEMA.split(", ")]).astype({"run": "int32", "run_rare": "int32", "begin": "int32", "end": "int32"})
@@ -250,7 +279,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, keys: list[str], *, whole
     def found(part: list[tuple[int, str]]) -> DataFrame:
         items = Items(part)
         items.set_rare(rare_words(texts.select("text"), items, whole=whole, whole_rare=whole_rare))
-        pairs = candidates(texts, items, keys)
+        pairs = candidates(texts, items, keys, whole=whole, whole_rare=whole_rare, row=row)
         return pairs.where(((F.col("matched") >= whole) & (F.col("matched_rare") >= whole_rare)) | (F.col("matched") == 1) | (F.col("run") >= row))
 
     for r in eval_items.select("item_id", "text").where(F.length("text") > 0).orderBy("item_id").toLocalIterator():
