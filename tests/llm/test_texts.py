@@ -184,6 +184,18 @@ def test_round_trip_of_wrong_decodings(clean, codec, text):
     assert fixed == text and pieces and not left
 
 
+def test_copies_of_a_garbled_text_in_a_third_of_the_rows(spark):
+    garbled = "Le comité a comparé le relevé énergétique près de la mairie, où la décision a été présentée.".encode("cp850").decode("cp1252")
+    other = "La société a présenté le décret après la journée.".encode("cp850").decode("cp1252")
+    whole = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = [*whole, *[garbled] * 250, *[f"Page {i}.\n{garbled}" for i in range(250)], other]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    got = {r.id: r.restored for r in E.repair(df, E.fit_information(df), ["id"]).collect()}
+    fixed, n = garbled.encode("cp1252").decode("cp850"), len(whole)
+    assert [got.get(n + i) for i in range(500)] == [fixed] * 250 + [f"Page {i}.\n{fixed}" for i in range(250)]
+    assert n + 500 in got
+
+
 def test_round_trip_of_a_double_decoding(clean):
     text = SENTENCES[1]
     fixed, _, _ = E.Repairer(clean[0])(garble(garble(text, "cp1252"), "cp1252"))

@@ -1,6 +1,6 @@
 """Garbled text from a wrong character encoding.
 
-Statistics of adjacent characters are counted over all documents. The score of a pair is its pointwise mutual information;
+Statistics of adjacent characters are counted over the distinct lines of all documents, so that copies add no evidence. The score of a pair is its pointwise mutual information;
 pairs that some wrong decoding would have made out of one character are set aside when the information is estimated,
 since their counts tell as much about damage as about language. Improbable pairs weigh positively and probable ones
 negatively, and the maximum-scoring segments of a text are the runs in which alone inverse mappings are tried. A repair
@@ -105,8 +105,8 @@ def alphabet() -> Alphabet:
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """pair, n: how often two characters are adjacent, over all texts. A task sends its non-zero counts once, so what is
-    shuffled is bounded by the alphabet, not by the texts."""
+    """pair, n: how often two characters are adjacent, over the distinct lines of all texts, so that a text that is copied,
+    alone or inside of others, counts once. Lines are shuffled once; of the counts, a task sends those that aren't zero."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = alphabet()
@@ -120,7 +120,8 @@ def pair_counts(texts: DataFrame) -> DataFrame:
         if len(at):
             yield pd.DataFrame({"pair": at, "n": total[at]})
 
-    return texts.select("text").where(F.length("text") > 0).mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") > 0).distinct()
+    return lines.mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 class Information:
@@ -184,7 +185,7 @@ class Information:
 
 
 def fit_information(texts: DataFrame) -> Information:
-    """From counts over all texts; at most alphabet x alphabet numbers reach the driver."""
+    """From counts over all distinct lines; at most alphabet x alphabet numbers reach the driver."""
     return Information([(r.pair, r.n) for r in pair_counts(texts).collect()])
 
 
