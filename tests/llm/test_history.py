@@ -124,6 +124,14 @@ def test_copies_extra_columns_and_nothing(spark):
     assert run(spark, [(1, long, None), (2, long + "kelp", None)]) == {(1, 2)}
 
 
+def test_titles_with_thousands_of_names(spark):
+    names = [f"{a}{b}{c}ux" for a in "BDFGKLMNPRST" for b in ("ra", "el", "io", "uk", "yz", "om", "an") for c in "bdfgklmnprstvwz"]
+    assert len(set(names)) > 1_000
+    long = "Flabrex opens tidal survey near " + " ".join(names * 3)
+    rows = [(1, long, None), (2, long + " after trial", None), (3, long + " Tudok", None), (4, long.replace(names[7], "Zomquax"), None), (5, "Tudok votes", None)]
+    assert run(spark, rows) == brute(rows, lexicon()) == {(1, 2)}
+
+
 def test_appended_history_equals_one_run(spark, sf):
     from tidewater.llm import queries as Q
 

@@ -30,6 +30,9 @@ RADIUS = 6
 PIVOTS = 2
 #: A range with more headlines than this is first split by parts of the ordinary words (exact: see pairs_in_ranges).
 CROWDED = 200
+#: Summed weights of identifying words are kept modulo this, so that distances of headlines of any length fit 64 bits. Within
+#: RADIUS these sums are equal, so they stay equal and nothing is lost; what meets by chance is refused by the true distance.
+MODULUS = 1 << 56
 ITEM_SCHEMA = "obs_id long, s long, u long, d0 long, p1 int, p2 int, t string"
 
 
@@ -59,6 +62,7 @@ def item_rows(items: DataFrame, lexicon: Lexicon) -> DataFrame:
                         pivots[part_of(w, PIVOTS)] += 1
                     else:
                         heavy += weight(w)
+                heavy = (heavy - 1) % MODULUS + 1 if heavy else 0
                 text = " ".join(words)
                 out.append((obs, key64(text), u, SCALE * heavy + light, *pivots, text))
             kinds = {"obs_id": "int64", "s": "int64", "u": "Int64", "d0": "Int64", "p1": "int32", "p2": "int32", "t": object}
