@@ -56,18 +56,36 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: a durable cut that survives the loss of any executor."""
-    path = new_path(df.sparkSession, label)
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read back, and its path: a durable cut that survives the loss of any
+    executor. The path may be dropped when nothing reads it any longer, and goes with the application at the latest."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The table of :func:`written_at`."""
+    return written_at(df, label)[0]
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a path, sorted; none if there is no such path."""
+    files, where = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where) if f.isDirectory()) if files.exists(where) else []
 
 
 _shipped: set[str] = set()
