@@ -7,7 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from urllib.parse import parse_qsl, unquote
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 LABEL = re.compile(r"^\W*((?:[^\W\d_]+[^\w|:–—.]{1,2}){0,2}[^\W\d_]+)(?:\s*[:|–—]|\s+-(?=\s)|\.(?=\s))\s*(?=\S)")
 OUTLET = re.compile(r"\s[-–—|]\s+\S+(?:\s+\S+){0,2}\s*$")
+#: The share of titles from which an ordinary word is established.
+ESTABLISHED = 1e-3
 #: Query parameters that only track where a reader came from (fixed values).
 TRACKING = {"fbclid", "gclid", "ref", "mc_cid", "mc_eid", "igshid", "cmpid", "source_ref"}
 
@@ -83,6 +85,16 @@ def _cuts(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def shortened(words: Iterable[str]) -> dict[str, list[str]]:
+    """Shortened form to the words that have it, for looking up slips of the pen."""
+    out: dict[str, list[str]] = {}
+    for w in words:
+        if len(w) > 3:
+            for cut in _cuts(w):
+                out.setdefault(cut, []).append(w)
+    return out
+
+
 def one_slip(a: str, b: str) -> bool:
     """Whether one letter inserted, left out, replaced or swapped with the next turns ``a`` into ``b``."""
     if len(a) > len(b):
@@ -96,17 +108,15 @@ def one_slip(a: str, b: str) -> bool:
 class Lexicon:
     """Ordinary words with their share of titles, and the labels that head titles.
 
-    A word that isn't ordinary identifies a story: a name or a figure.
+    A word that isn't ordinary identifies a story: a name or a figure. ``capital`` are the ordinary words that are mostly
+    written as names are.
     """
 
     def __init__(self, shares: dict[str, float], capital: set[str], labels: set[str], established: float) -> None:
         self.shares, self.capital, self.labels, self.established = shares, capital, labels, established
         self.forms: tuple[dict[str, str], dict[str, str]] = ({}, {})
-        self.cuts: dict[str, list[str]] = {}
-        for w in shares:
-            if len(w) > 3:
-                for cut in _cuts(w):
-                    self.cuts.setdefault(cut, []).append(w)
+        self.slips: dict[str, str] = {}
+        self.cuts = shortened(shares)
 
     def canonical(self, word: str, as_name: bool) -> str:
         """``word``, or the ordinary word that it is one slip of the pen away from.
@@ -121,47 +131,63 @@ class Lexicon:
 
     def tokens(self, title: str) -> list[str]:
         """Canonical words of a headline without label and outlet."""
+        return self.parsed(title)[0]
+
+    def parsed(self, title: str) -> tuple[list[str], str, list[str]]:
+        """Canonical words, the label that heads the title (also one that isn't left out), and the words taken for slips."""
         text = unescaped(title)
         label, rest = split_label(text)
         if label and label in self.labels:
             text = rest
-        text = OUTLET.sub("", text)
-        raw = WORD.findall(text)
+        raw = WORD.findall(OUTLET.sub("", text))
+        if not raw:
+            return [], label, []
         # the first word, and all words of titles in one case, tell nothing by their capitals
         mixed = not (text.islower() or text.isupper()) and any(w[0].islower() and len(w) > 3 for w in raw[1:])
         plain, cased = self.forms
-        out = [plain.get(raw[0]) or self._form(raw[0], False)] if raw else []
+        out = [plain.get(raw[0]) or self._form(raw[0], False)]
         known = cased if mixed else plain
-        return out + [known.get(w) or self._form(w, mixed) for w in raw[1:]]
+        out += [known.get(w) or self._form(w, mixed) for w in raw[1:]]
+        return out, label, [self.slips[w] for w in raw if w in self.slips]
 
     def _form(self, raw: str, mixed: bool) -> str:
         kept = self.forms[mixed]
         if len(kept) > 300_000:
             kept.clear()
-        word = kept[raw] = self.canonical(raw.lower() if raw.isascii() else _plain_word(raw), mixed and raw[0].isupper())
+        plain = raw.lower() if raw.isascii() else _plain_word(raw)
+        word = kept[raw] = self.canonical(plain, mixed and raw[0].isupper())
+        if word != plain:
+            if len(self.slips) > 300_000:
+                # all go together, so that a form is never remembered without its slip
+                self.slips.clear(), self.forms[0].clear(), self.forms[1].clear()
+            self.slips[raw] = plain
         return word
 
     def ordinary(self, word: str) -> bool:
         return word in self.shares
 
 
-def fit_lexicon(titles: DataFrame, *, lower_share: float = 3e-5, any_share: float = 3e-3, established: float = 1e-3) -> Lexicon:
-    """The lexicon of a column ``title``, from counts over all rows.
+COUNT_SCHEMA = "word string, n long, low long"
+#: Marks of rows that count labels, and all titles, among the counts of words.
+LABEL_MARK, TITLES_MARK = "\1", "\2"
 
-    A word is ordinary if it stands in lower case inside mixed-case titles in the share ``lower_share`` of titles (2 at
-    least), or in any form in the share ``any_share``. So there are at most words-per-title / ``lower_share`` entries,
-    a bound that doesn't grow with the rows. Counts are made per partition before the shuffle.
+
+def word_counts(titles: DataFrame) -> DataFrame:
+    """word, n, low: in how many titles every plain word stands, and how often in lower case inside of mixed-case titles.
+
+    Also has rows for labels and one for the number of titles. Counts of several sets of titles may be added up.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, lower, labels = Counter(), Counter(), Counter()
+        total, lower, labels, n = Counter(), Counter(), Counter(), 0
 
         def out() -> pd.DataFrame:
-            frame = pd.DataFrame({"word": [*total, *("\1" + x for x in labels)], "n": [*total.values(), *labels.values()], "low": [*(lower[w] for w in total), *([0] * len(labels))]})
+            frame = pd.DataFrame({"word": [*total, *(LABEL_MARK + x for x in labels)], "n": [*total.values(), *labels.values()], "low": [*(lower[w] for w in total), *([0] * len(labels))]})
             total.clear(), lower.clear(), labels.clear()
             return frame
 
         for batch in batches:
+            n += len(batch)
             for title in batch["title"]:
                 text = unescaped(title)
                 label, rest = split_label(text)
@@ -173,19 +199,41 @@ def fit_lexicon(titles: DataFrame, *, lower_share: float = 3e-5, any_share: floa
                     lower.update({w if w.isascii() else _plain_word(w) for w in raw if w.islower()})
             if len(total) > 300_000:
                 yield out()
-        if total:
+        if total or labels:
             yield out()
+        if n:
+            yield pd.DataFrame({"word": [TITLES_MARK], "n": [n], "low": [0]})
+
+    parts = titles.select("title").where(F.col("title").isNotNull()).mapInPandas(count, COUNT_SCHEMA)
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
 
-    parts = titles.select("title").where(F.col("title").isNotNull()).mapInPandas(count, "word string, n long, low long")
-    counts = parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
-    # the cut is relative to the number of titles, so what reaches the driver is bounded as stated above
-    n = titles.where(F.col("title").isNotNull()).count()
-    least_low, least_any = max(2, lower_share * n), max(2, any_share * n)
-    rows = counts.where((F.col("low") >= least_low) | (F.col("n") >= F.when(F.col("word").startswith("\1"), least_low).otherwise(least_any))).collect()
-    words = {r.word: r for r in rows if r.word[0] != "\1"}
-    return Lexicon({w: r.n / n for w, r in words.items()}, {w for w, r in words.items() if r.low < 0.5 * r.n}, {r.word[1:] for r in rows if r.word[0] == "\1"}, established)
 
+def grown_lexicon(counts: DataFrame, before: Lexicon | None = None, *, lower_share: float = 3e-5, any_share: float = 3e-3, established: float = ESTABLISHED) -> Lexicon:
+    """The lexicon of summed :func:`word_counts`; words and labels of the lexicon ``before`` stay.
 
+    A word is ordinary if it stands in lower case inside mixed-case titles in the share ``lower_share`` of titles (2 at
+    least), or in any form in the share ``any_share`` (6 at least). So there are at most words-per-title / ``lower_share``
+    entries, a bound that doesn't grow with the rows, and no more than these reach the driver.
+    """
+    n = counts.where(F.col("word") == TITLES_MARK).agg(F.sum("n")).first()[0] or 0
+    least_low, least_any = max(2, lower_share * n), max(6, any_share * n)
+    crosses = (F.col("low") >= least_low) | (F.col("n") >= F.when(F.col("word").startswith(LABEL_MARK), least_low).otherwise(least_any))
+    rows = counts.where(crosses & (F.col("word") != TITLES_MARK)).collect()
+    words = {r.word: r for r in rows if r.word[0] != LABEL_MARK}
+    shares = {w: r.n / n for w, r in words.items()}
+    capital = {w for w, r in words.items() if r.low < 0.5 * r.n}
+    labels = {r.word[1:] for r in rows if r.word[0] == LABEL_MARK}
+    if before is not None:
+        shares, capital, labels = before.shares | shares, capital | (before.capital - words.keys()), labels | before.labels
+    return Lexicon(shares, capital, labels, established)
+
+
+def fit_lexicon(titles: DataFrame) -> Lexicon:
+    """The lexicon of a column ``title``, from counts over all rows."""
+    return grown_lexicon(word_counts(titles))
+
+
+@lru_cache(maxsize=200_000)
 def weight(word: str) -> int:
     """The weight of an identifying word in the metric: a fixed number from 1 to 2**50."""
     return (xxhash.xxh64_intdigest(word) >> 14) + 1

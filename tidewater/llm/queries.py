@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +14,26 @@ from tidewater.operators.latest import latest_by
 from tidewater.runtime import table, written
 
 
+def _history(spark: SparkSession, sf: str, blocks: int) -> tuple[history.History, list[DataFrame]]:
+    """A history of all items, which arrive in ``blocks`` consecutive blocks of batches, and what each block gave."""
+    items = table(spark, sf, "observation")
+    lo, hi = items.agg(F.min("batch_id"), F.max("batch_id")).first()
+    store = history.History(spark)
+    if lo is None:
+        return store, []
+    step = -(-(hi - lo + 1) // blocks)
+    return store, [store.append(items.where(F.col("batch_id").between(at, at + step - 1))) for at in range(lo, hi + 1, step)]
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return history.repeats(table(spark, sf, "observation"))
+    """Every item that repeats a story: the first half of the batches is accepted, then the second is compared with it."""
+    return _history(spark, sf, 2)[0].repeats()
 
 
-def p2_appended(spark: SparkSession, sf: str, blocks: int = 3) -> DataFrame:
-    """The same items arriving in consecutive blocks of batches, each compared with the stored history and appended."""
-    items = table(spark, sf, "observation")
-    span = items.agg(F.min("batch_id"), F.max("batch_id")).first()
-    if span[0] is None:
-        return history.repeats(items)
-    store, out = history.History(spark), None
-    step = -(-(span[1] - span[0] + 1) // blocks)
-    for lo in range(span[0], span[1] + 1, step):
-        found = store.append(items.where(F.col("batch_id").between(lo, lo + step - 1)))
-        out = found if out is None else out.unionByName(found)
-    return out
+def p2_appended(spark: SparkSession, sf: str, blocks: int = 4) -> DataFrame:
+    """block, first_obs_id, obs_id: what each of several blocks gave on arrival, earlier items that were paired anew included."""
+    found = [df.select(F.lit(i).alias("block"), "first_obs_id", "obs_id") for i, df in enumerate(_history(spark, sf, blocks)[1])]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "block int, first_obs_id long, obs_id long")
 
 
 def p3_segments(spark: SparkSession, sf: str) -> DataFrame:
