@@ -56,11 +56,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
 
 
-def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, label: str, options: dict | None = None) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, read back, and its path: a durable cut that survives the loss of any
     executor. The path may be dropped when nothing reads it any longer, and goes with the application at the latest."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options or {}).parquet(path)
     files, where = _files(spark, path)
     files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
