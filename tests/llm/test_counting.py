@@ -70,8 +70,22 @@ def test_top_n_skips_row_groups_without_losing_rows(spark, monkeypatch):
     monkeypatch.setattr(topn, "ROW_GROUP", 4096)
     rows = [("hot", float(i % 977), None, f"t{i:06d}") for i in range(30_000)] + [("few", 1.0, None, "a"), (None, 1.0, None, "n")]
     df = spark.createDataFrame(rows, "grp string, score double, more double, term string")
-    got = Counter((r.grp, r.term, r["rank"]) for r in topn.top_n(df, ["grp"], ORDER, 3).collect())
-    assert got == brute_top(rows, 3)
+    stored = topn.Clustered(df, ["grp"], ORDER)
+    for n in (1, 3, 40):
+        assert Counter((r.grp, r.term, r["rank"]) for r in stored.top(n).collect()) == brute_top(rows, n)
+    reports = stored.skipping(3).collect()
+    assert sum(r.skipped for r in reports) > 0.5 * sum(r.row_groups for r in reports) > 5 and sum(r.rows_read for r in reports) < 15_000
+
+
+def test_row_groups_of_many_groups_are_skipped_too(spark, monkeypatch):
+    monkeypatch.setattr(topn, "ROW_GROUP", 4096)
+    rng = random.Random(8)
+    rows = [(f"g{i % 150}", rng.random() * (1 + i % 150), None, f"t{i:06d}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "grp string, score double, more double, term string")
+    stored = topn.Clustered(df, ["grp"], ORDER)
+    assert Counter((r.grp, r.term, r["rank"]) for r in stored.top(5).collect()) == brute_top(rows, 5)
+    report = stored.skipping(5).collect()
+    assert sum(r.skipped for r in report) > 0.3 * sum(r.row_groups for r in report)
 
 
 def test_top_n_of_nothing_and_without_scores(spark):
