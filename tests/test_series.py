@@ -131,6 +131,16 @@ def test_grid_keeps_readings_fills_low_rank_gaps_and_marks_the_rest(spark):
     assert ("one", 5) in got and ("one", 6) not in got and not any(e == "none" for e, _ in got)
 
 
+def test_impossible_readings_stay_but_do_not_bend_the_fills(spark):
+    rows = [("s", "daily", f"e{i}", t, (10.0 + i) * (2 + t % 7), None) for i in range(12) for t in range(40) if (i + t) % 9]
+    fine = spark.createDataFrame(rows, "series string, calendar string, entity string, period int, value double, rank_by int")
+    bad = fine.withColumn("value", F.when((F.col("entity") == "e3") & (F.col("period") == 5), 1e9).otherwise(F.col("value"))).withColumn("fits", F.col("value") < 1e6)
+    got = [{(r.entity, r.period): (r.value, r.mark) for r in complete_grid(df).collect()} for df in (fine, bad)]
+    assert got[1]["e3", 5] == (1e9, "observed") and got[0].keys() == got[1].keys()
+    filled = [k for k, (_, mark) in got[0].items() if mark == "filled"]
+    assert len(filled) > 30 and all(abs(got[1][k][0] - got[0][k][0]) < 0.1 * got[0][k][0] for k in filled)
+
+
 def test_grid_counts_the_latest_of_a_period_and_nothing_of_nothing(spark):
     t = dt.datetime(2025, 1, 6, 10)
     rows = [("s", "daily", "a", 1, 1.0, t), ("s", "daily", "a", 1, 2.0, t + dt.timedelta(hours=1)), ("s", "daily", "a", None, 3.0, t)]

@@ -14,6 +14,10 @@ from tidewater.operators.rolling import rolling_totals
 from tidewater.runtime import table
 
 
+#: Figures of documents below the first or from the second on are impossible.
+IMPOSSIBLE = (0.0, 900_000.0)
+
+
 def counted_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """source, day, documents of the counting row of each source and day."""
     raw = table(spark, sf, "trend_snapshot").select("source", parse_day(F.col("date")).alias("day"), figure(F.col("documents")).alias("documents"), "collected_at_utc")
@@ -21,12 +25,13 @@ def counted_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    """The usable readings of the three series, with their period numbers."""
+    """The usable readings of the three series, with their period numbers; impossible figures don't take part in the fit."""
     snapshot = counted_snapshots(spark, sf).select(F.lit("snapshot").alias("series"), F.lit("daily").alias("calendar"), F.col("source").alias("entity"), day_number(F.col("day")).alias("period"), F.col("documents").alias("value"), F.lit(None).cast("timestamp").alias("rank_by"))
     status = F.upper(F.regexp_replace(F.col("status"), r"^\s+|\s+$", ""))
     health = table(spark, sf, "source_health").where(status.isin("OK", "EMPTY")).select(F.lit("health").alias("series"), F.lit("daily").alias("calendar"), F.col("source").alias("entity"), day_number(F.to_date("checked_at")).alias("period"), F.coalesce(figure(F.col("documents")), F.lit(0.0)).alias("value"), F.col("checked_at").alias("rank_by"))
     market = table(spark, sf, "market").where(figure(F.col("close")) > 0).select(F.lit("market").alias("series"), F.lit("weekdays").alias("calendar"), F.col("symbol").alias("entity"), weekday_number(F.to_date("quote_ts")).alias("period"), F.col("close").alias("value"), F.col("quote_ts").alias("rank_by"))
-    return snapshot.unionByName(health).unionByName(market)
+    every = snapshot.unionByName(health).unionByName(market)
+    return every.withColumn("fits", (F.col("series") == "market") | ((F.col("value") >= IMPOSSIBLE[0]) & (F.col("value") < IMPOSSIBLE[1])))
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +49,7 @@ def outliers(spark: SparkSession, sf: str) -> DataFrame:
     snapshot = counted_snapshots(spark, sf).select(F.col("source").alias("entity"), "day", F.col("documents").alias("reading"))
     quotes = table(spark, sf, "market").select(F.col("symbol").alias("entity"), F.to_date("quote_ts").alias("day"), figure(F.col("close")).alias("reading"), "quote_ts")
     market = latest_by(quotes.where(F.col("reading").isNotNull()), ["entity", "day"], [F.col("quote_ts")], ["reading"])
-    return level_outliers(snapshot).withColumn("series", F.lit("snapshot")).unionByName(move_outliers(market).withColumn("series", F.lit("market")))
+    return level_outliers(snapshot, low=IMPOSSIBLE[0], high=IMPOSSIBLE[1]).withColumn("series", F.lit("snapshot")).unionByName(move_outliers(market).withColumn("series", F.lit("market")))
 
 
 def outlier_cases(spark: SparkSession, sf: str) -> DataFrame:
