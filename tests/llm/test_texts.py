@@ -147,6 +147,18 @@ def test_leaks_at_any_place_of_a_document(spark):
     assert leak_rows(spark, docs) == {(0, 1), (1, 1), (2, 1)}
 
 
+def test_leaks_however_many_documents_and_rounds(spark, monkeypatch):
+    start = "Read the passage and answer. "
+    bodies = [f"The crew of Ship{x} counted seals near Cape{x} and wrote {300 + i} pages about Lake{x} before the winter storm closed Port{x}." for i, x in enumerate(["abu", "dek", "fim", "gor"])]
+    items = [(i, start + b) for i, b in enumerate(bodies)] + [(20, "Zufallswort"), (21, "Gelbe Zufallsfahne")]
+    docs = [f"d{k} {bodies[0]} end{k}" for k in range(1)] + [f"d{k} {bodies[1]} end{k}" for k in range(6)] + [f"d{k} {bodies[2]} end{k}" for k in range(20)] + [f"d{k} {bodies[3]} end{k}" for k in range(100)]
+    docs += ["in the middle Zufallswort of it", "a gelbe zufallsfahne waves here", "gelbe andere fahne"]
+    want = {(k, 0 if k < 1 else 1 if k < 7 else 2 if k < 27 else 3) for k in range(127)} | {(127, 20), (128, 21)}
+    assert leak_rows(spark, docs, items) == want
+    monkeypatch.setattr(K, "ITEM_WORDS", 20)
+    assert leak_rows(spark, docs, items) == want
+
+
 def test_leaks_of_nothing(spark):
     assert leak_rows(spark, ["some text"], items=[]) == set()
     assert leak_rows(spark, [], items=None) == set()

@@ -1,7 +1,7 @@
 """Evaluation passages in training texts: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Which words of the test items are rare is counted over all documents, outside of the places that hold an item, so that
-an item's names stay rare however often it leaked. An n-gram of an item that holds a rare word is a seed; a document that
+Which words of an item are rare is counted over all documents, outside of the places that hold this item, so that an
+item's names stay rare however often it leaked, and an item's result doesn't depend on the other items. An n-gram of an item that holds a rare word is a seed; a document that
 holds a seed is aligned with the item around the place of the seeds. The alignment's matches, and among them those of rare
 words, decide, so that wording alone, with other names and figures, is no leak. Runs of RUN words and whole items that
 stand there word for word are leaks whatever their words; every such run holds one of the item's marks, which are seeds too.
@@ -27,7 +27,8 @@ SEED = 3
 #: So many words of an item in a row are a leak.
 RUN = 12
 MATCH, MISS, GAP = 2, -1, -1
-#: Words of test items that are held in the driver and sent to every task at once; more are handled in further rounds.
+#: Words of test items that are held in the driver and sent to every task at once, the bound of what is broadcast; more are
+#: handled in further rounds, which give the same rows.
 ITEM_WORDS = 2_000_000
 
 
@@ -38,17 +39,28 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
+def without_instruction(eval_items: DataFrame, shared: int = 3) -> DataFrame:
+    """item_id, text of the items without their opening instruction: a first sentence that opens ``shared`` items of all,
+    unless it is all there is. NULL and empty items are left out."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [SENTENCE.match(t) for t in batch["text"]]
+            rests = [t[m.end() :] if m else "" for t, m in zip(batch["text"], found)]
+            enough = [len(words(r)) >= 5 for r in rests]
+            yield pd.DataFrame({"item_id": batch["item_id"], "text": batch["text"], "opening": [m.group().strip() if m else None for m in found], "rest": [r if ok else None for r, ok in zip(rests, enough)]})
+
+    items = eval_items.select("item_id", "text").where(F.length("text") > 0).withColumn("item_id", F.col("item_id").cast("long"))
+    parts = items.mapInPandas(cut, "item_id long, text string, opening string, rest string")
+    often = parts.where(F.col("opening").isNotNull()).groupBy("opening").agg(F.count("*").alias("n")).where(F.col("n") >= shared)
+    return parts.join(often, "opening", "left").select("item_id", F.when(F.col("n").isNotNull() & F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("text")).alias("text"))
+
+
 class Items:
-    """Test items as words without their opening instruction, and their seeds."""
-
-    def __init__(self, rows: list[tuple[int, str]], shared: int = 3) -> None:
-        firsts = Counter(m.group().strip() for _, t in rows if (m := SENTENCE.match(t)))
-        self.words: dict[int, list[str]] = {}
-        for item, text in rows:
-            m = SENTENCE.match(text)
-            # a first sentence that opens several items is an instruction, unless it is all there is
-            body = text[m.end() :] if m and firsts[m.group().strip()] >= shared and len(words(text[m.end() :])) >= 5 else text
-            self.words[item] = words(body)
+    """Test items as words, and their seeds."""
+
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
+        self.words: dict[int, list[str]] = {item: words(text) for item, text in rows}
         self.vocabulary = {w for ws in self.words.values() for w in ws}
         # of every RUN words in a row the one least used in the items is a mark, so that no run is without one
         often = Counter(w for ws in self.words.values() for w in ws)
@@ -58,29 +70,28 @@ class Items:
                 at = min(range(i, min(i + RUN, len(ws))), key=lambda k: (often[ws[k]], ws[k]))
                 spots[ws[at]].add((item, at))
         self.spots = {w: sorted(places) for w, places in spots.items()}
-        self.rare: set[str] = set()
+        self.rare: dict[int, set[str]] = {}
         self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = {}
 
-    def set_rare(self, rare: set[str]) -> None:
+    def set_rare(self, rare: dict[int, set[str]]) -> None:
         self.rare = rare
-        anchors = rare | self.spots.keys()
         seeds = defaultdict(list)
         for item, ws in self.words.items():
+            anchors = rare[item].union(w for w in ws if w in self.spots)
             for i in range(len(ws) - SEED + 1):
                 gram = tuple(ws[i : i + SEED])
                 if any(w in anchors for w in gram):
                     seeds[gram].append((item, i))
-            if 0 < len(ws) < SEED:
-                seeds[tuple(ws)].append((item, 0))
         self.seeds = dict(seeds)
-        # the rare word or mark first met decides where a seed is looked up
-        self.anchors = anchors
+        # only around these words is anything looked up; items shorter than a seed are found by their runs
+        self.anchors = self.spots.keys() | {w for names in rare.values() for w in names}
 
-    def runs(self, ws: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """item, place in the item, place in ``ws`` and length of every run of RUN words, or the whole item, word for word."""
+    def runs(self, ws: list[str], at: list[int] | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """item, place in the item, place in ``ws`` and length of every run of RUN words, or the whole item, word for word;
+        ``at`` are the places of all marks, if known."""
         done: dict[tuple[int, int], int] = {}
-        for j, w in enumerate(ws):
-            for item, i in self.spots.get(w, ()):
+        for j in range(len(ws)) if at is None else at:
+            for item, i in self.spots.get(ws[j], ()):
                 if done.get((item, j - i), 0) > j:
                     continue
                 own, lo, hi = self.words[item], 0, 1
@@ -98,41 +109,49 @@ def margin(own: list[str]) -> int:
     return len(own) // 3 + 8
 
 
-def rare_words(documents: DataFrame, items: Items, *, share: float = 0.005, least: int = 5, whole: float = 0.75, whole_rare: float = 0.6) -> set[str]:
-    """The words of the items in at most the share ``share`` of all documents (``least`` documents at least), apart from the
-    places that hold an item: around its runs of RUN words, and, if an item has many of these, in documents with ``whole``
+def rare_words(documents: DataFrame, items: Items, *, share: float = 0.005, least: int = 5, whole: float = 0.75, whole_rare: float = 0.6) -> dict[int, set[str]]:
+    """Of every item the words in at most the share ``share`` of all documents (``least`` documents at least), apart from
+    the places that hold this item: around its runs of RUN words, and, if it has many of these, in documents with ``whole``
     of its words and ``whole_rare`` of the quarter of them that is least used elsewhere."""
     vocabulary, marks = items.vocabulary, items.spots.keys()
+    schema = "item long, word string, n long"
+
+    def rows(found: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"item": pd.array([i for i, _ in found], dtype="Int64"), "word": [w for _, w in found], "n": list(found.values())}).astype({"word": object, "n": "int64"})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, copies, n = Counter(), Counter(), 0
+        found, held, n = Counter(), Counter(), 0
         for batch in batches:
             for text in batch["text"]:
                 ws = words(text)
                 here = vocabulary.intersection(ws)
+                found.update(here)
                 if not marks.isdisjoint(here) and (runs := list(items.runs(ws))):
-                    held = np.zeros(len(ws), dtype=bool)
+                    places = defaultdict(lambda: np.zeros(len(ws), dtype=bool))
                     for item, i, j, _ in runs:
                         own = items.words[item]
-                        held[max(0, j - i - margin(own)) : j - i + len(own) + margin(own)] = True
-                    here = vocabulary.intersection(w for w, h in zip(ws, held.tolist()) if not h)
-                    copies.update({r[0] for r in runs})
-                found.update(here)
+                        places[item][max(0, j - i - margin(own)) : j - i + len(own) + margin(own)] = True
+                    for item, at in places.items():
+                        outside = {w for w, h in zip(ws, at.tolist()) if not h}
+                        held.update((item, w) for w in here.intersection(items.words[item]) if w not in outside)
+                        held[item, None] += 1
             n += len(batch)
-        yield pd.DataFrame({"word": [*found, *(f"\0{i}" for i in copies), "\0"], "n": [*found.values(), *copies.values(), n]})
+        yield rows(Counter({(None, w): k for w, k in found.items()}) + held + Counter({(None, None): n}))
 
-    # at most one row per word of the items, and one per item
-    counts = {r.word: r.n for r in documents.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    n = counts.pop("\0", 0)
+    # at most one row per word of the items, and one per item and word
+    counts, held = Counter(), Counter()
+    for r in documents.mapInPandas(count, schema).groupBy("item", "word").agg(F.sum("n").alias("n")).collect():
+        (counts if r.item is None else held)[r.word if r.item is None else (r.item, r.word)] = r.n
+    n = counts.pop(None, 0)
     most = max(least, share * n)
     hot = {}
     for item, ws in items.words.items():
-        if counts.get(f"\0{item}", 0) > max(least, share * n / 5):
-            own = sorted(set(ws), key=lambda w: (counts.get(w, 0), w))
+        if held[item, None] > max(least, share * n / 5):
+            own = sorted(set(ws), key=lambda w: (counts[w] - held[item, w], w))
             hot[item] = set(own), set(own[: max(3, len(own) // 4)])
 
     def count_edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = Counter()
+        edited = Counter()
         for batch in batches:
             for text in batch["text"]:
                 ws = words(text)
@@ -140,13 +159,13 @@ def rare_words(documents: DataFrame, items: Items, *, share: float = 0.005, leas
                 near = [item for item, (own, names) in hot.items() if len(names & here) >= whole_rare * len(names) and len(own & here) >= whole * len(own)]
                 if near:
                     exact = {r[0] for r in items.runs(ws)}
-                    held.update({w for item in near if item not in exact for w in hot[item][0] & here})
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())}).astype({"word": object, "n": "int64"})
+                    edited.update((item, w) for item in near if item not in exact for w in hot[item][0] & here)
+        yield rows(edited)
 
     if hot:
-        for r in documents.mapInPandas(count_edited, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-            counts[r.word] = counts.get(r.word, 0) - r.n
-    return {w for w in vocabulary if counts.get(w, 0) <= most}
+        for r in documents.mapInPandas(count_edited, schema).groupBy("item", "word").agg(F.sum("n").alias("n")).collect():
+            held[r.item, r.word] += r.n
+    return {item: {w for w in ws if counts[w] - held[item, w] <= most} for item, ws in items.words.items()}
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -196,15 +215,15 @@ def candidates(documents: DataFrame, items: Items, keys: list[str], *, whole: fl
     the one that matches most. Whole texts are read; NULL and empty texts have no row."""
     kinds = dict(documents.dtypes)
 
-    def measured(own: list[str], names: int, a: int, pairs: list[tuple[int, int]]) -> tuple:
-        length, length_rare = longest_run(pairs, own, items.rare)
-        return (len(pairs) / len(own), sum(own[i] in items.rare for i, _ in pairs) / max(1, names), length, length_rare, a + pairs[0][1], a + pairs[-1][1] + 1)
+    def measured(own: list[str], rare: set[str], names: int, a: int, pairs: list[tuple[int, int]]) -> tuple:
+        length, length_rare = longest_run(pairs, own, rare)
+        return (len(pairs) / len(own), sum(own[i] in rare for i, _ in pairs) / max(1, names), length, length_rare, a + pairs[0][1], a + pairs[-1][1] + 1)
 
     def leak(place: tuple) -> bool:
         matched, matched_rare, length = place[:3]
         return (matched >= whole and matched_rare >= whole_rare) or matched == 1 or length >= row
 
-    def aligned(own: list[str], names: int, ws: list[str], hits: list[int], a: int, b: int) -> Iterator[tuple]:
+    def aligned(own: list[str], rare: set[str], names: int, ws: list[str], hits: list[int], a: int, b: int) -> Iterator[tuple]:
         """The best alignment inside ws[a:b]; if that is no leak, also those of what lies before and after it."""
         parts = [(a, b)]
         while parts:
@@ -212,7 +231,7 @@ def candidates(documents: DataFrame, items: Items, keys: list[str], *, whole: fl
             pairs = align(own, ws[a:b])
             if not pairs:
                 continue
-            yield (place := measured(own, names, a, pairs))
+            yield (place := measured(own, rare, names, a, pairs))
             if not leak(place):
                 # every part has a seed of its own and room for a leak, so there are at most as many parts as seeds
                 for lo, hi in ((a, place[4]), (place[5], b)):
@@ -233,27 +252,27 @@ def candidates(documents: DataFrame, items: Items, keys: list[str], *, whole: fl
                         seen = j
                         for item, offset in seeds.get(tuple(ws[j : j + SEED]), ()):
                             places[item].append((j - offset, j))
-                if not places:
+                if not hits:
                     continue
                 exact: dict[int, tuple[int, int, int]] = {}
-                for item, i, j, n in items.runs(ws):
+                for item, i, j, n in items.runs(ws, hits):
                     exact[item] = max(exact.get(item, (0, 0, 0)), (n, i, j))
-                for item, starts in places.items():
-                    own = items.words[item]
-                    names = sum(w in items.rare for w in own)
+                for item in {**places, **exact}:
+                    own, rare, starts = items.words[item], items.rare[item], places.get(item, [])
+                    names = sum(w in rare for w in own)
                     pad = margin(own)
                     # places of one item that lie apart are aligned apart; the best leak counts, however much others match
                     starts.sort()
                     of_item = sorted(j for _, j in starts)
-                    found, lo = [], starts[0][0]
+                    found, lo = [], starts[0][0] if starts else 0
                     for (s, _), nxt in zip(starts, [*[s for s, _ in starts[1:]], None]):
                         if nxt is None or nxt - s > pad:
-                            found += aligned(own, names, ws, of_item, max(0, lo - pad), min(len(ws), s + len(own) + pad))
+                            found += aligned(own, rare, names, ws, of_item, max(0, lo - pad), min(len(ws), s + len(own) + pad))
                             lo = nxt
                     if item in exact:
                         # an alignment may go past the longest run
                         n, i, j = exact[item]
-                        found.append(measured(own, names, 0, [(i + x, j + x) for x in range(n)]))
+                        found.append(measured(own, rare, names, 0, [(i + x, j + x) for x in range(n)]))
                     if found:
                         at.append(k)
                         out.append((item, *max(found, key=lambda place: (leak(place), place[0]))))
@@ -270,8 +289,9 @@ def leaks(documents: DataFrame, eval_items: DataFrame, keys: list[str], *, whole
     """The candidates that are leaks: the whole item word for word or with at most some words changed (``whole`` of its
     words and ``whole_rare`` of its rare ones match in order), or ``row`` words in a row.
 
-    documents: keys, text; eval_items: item_id, text (NULL and empty items match nothing). Items are taken in rounds of at
-    most ITEM_WORDS words, each against all documents. Equal documents each have their rows; extra columns are ignored.
+    documents: keys, text; eval_items: item_id, text (NULL and empty items match nothing; items of any number of words are
+    found at any place). Items are taken in rounds of at most ITEM_WORDS words, each against all documents; what opens many
+    items is counted over all of them before. Equal documents each have their rows; extra columns are ignored.
     """
     texts = documents.select(*keys, "text").where(F.length("text") > 0)
     out, rows, size = None, [], 0
@@ -282,7 +302,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, keys: list[str], *, whole
         pairs = candidates(texts, items, keys, whole=whole, whole_rare=whole_rare, row=row)
         return pairs.where(((F.col("matched") >= whole) & (F.col("matched_rare") >= whole_rare)) | (F.col("matched") == 1) | (F.col("run") >= row))
 
-    for r in eval_items.select("item_id", "text").where(F.length("text") > 0).orderBy("item_id").toLocalIterator():
+    for r in without_instruction(eval_items).orderBy("item_id").toLocalIterator():
         rows.append((r.item_id, r.text))
         size += len(r.text) // 3
         if size >= ITEM_WORDS:
