@@ -170,7 +170,7 @@ def test_pivots_rule_out_most_pairs_of_a_hot_name(spark):
     words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("ra", "lo", "mi", "tu", "ne")]
     lex = L.Lexicon({w: 0.01 for w in words}, set(), set(), 1e-3)
     rows = [(i, " ".join(["Flabrex", *rng.sample(words, 8)]), None) for i in range(1500)]
-    heads = H.headlines(H.item_rows(spark.createDataFrame(rows, SCHEMA), lex)).withColumn("node", H.F.col("first"))
+    heads = H.headlines(H.item_rows(spark.createDataFrame(rows, SCHEMA), lex))
     assert heads.select(H.cell_of(H.F.col("d0"))).distinct().count() == 1
     left = H.candidates(heads, None, lex).count()
     assert left < 0.1 * 1500 * 1499 / 2

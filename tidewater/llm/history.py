@@ -42,7 +42,6 @@ MODULUS = 1 << 56
 RANGES = 16
 RANGE_BITS = (SCALE * MODULUS).bit_length() - 1 - (RANGES.bit_length() - 1)
 ITEM_SCHEMA = "obs_id long, s long, u long, d0 long, p long, t string, raw string, past string"
-HEAD = ["s", "first", "d0", "p", "t", "raw", "past"]
 
 
 def placed(words: list[str], lexicon: Lexicon) -> tuple[int, int]:
@@ -178,35 +177,38 @@ def range_of(d0: Column) -> Column:
 
 
 def candidates(fresh: DataFrame, known: DataFrame | None, lexicon: Lexicon) -> DataFrame:
-    """a, b, a_t, b_t: pairs of fresh x known and fresh x fresh headlines that no pivot rules out.
+    """a, b, a_s, b_s: pairs of fresh x known and fresh x fresh headlines that no pivot rules out.
 
-    fresh, known: node, d0, p, t; one row per headline. A row looks in the one or two cells that the interval of RADIUS
-    around its distance meets; cells without another headline end at the join.
+    fresh, known: node, s, d0, p, t; one row per headline. A row looks in the one or two cells that the interval of RADIUS
+    around its distance meets; cells without another headline end at the join. Only numbers travel, but in crowded cells.
     """
-    cols = ["node", "d0", "p", "t"]
+    cols = ["node", "s", "d0", "p", "t"]
     here = fresh.select(*cols, F.lit(True).alias("new"))
     stored = (here if known is None else here.unionByName(known.select(*cols, F.lit(False).alias("new")))).withColumn("cell", cell_of(F.col("d0")))
-    looking = fresh.select(*cols, F.explode(F.array_distinct(F.array(cell_of(F.col("d0") - RADIUS), cell_of(F.col("d0") + RADIUS)))).alias("cell"))
+    looking = here.withColumn("cell", F.explode(F.array_distinct(F.array(cell_of(F.col("d0") - RADIUS), cell_of(F.col("d0") + RADIUS)))))
     # at most one cell in CROWDED headlines
     crowded = written(stored.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("cell"), "crowded")
 
     def side(df: DataFrame, name: str, by: list[str]) -> DataFrame:
         return df.select(*by, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in by])
 
-    order = [F.struct(*[f"{x}_{c}" for c in ("d0", "t", "node")]) for x in "ab"]
+    order = [F.struct(*[f"{x}_{c}" for c in ("d0", "s", "node")]) for x in "ab"]
     near = ~(F.col("b_new") & (order[0] <= order[1])) & _pruned("a_", "b_")
-    out = [F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_t", "b_t"]
-    few = side(looking.join(crowded, "cell", "left_anti"), "a", ["cell"]).join(side(stored, "b", ["cell"]), "cell").where(near).select(*out)
-    split, schema = _split(lexicon, "cell long, node long, d0 long, p long, t string, new boolean")
-    parts = [side(df.join(crowded, "cell", "left_semi").select("cell", *cols, "new").mapInPandas(split, schema).withColumn("key", F.explode("keys")), x, ["cell", "key"]) for x, df in (("a", looking.withColumn("new", F.lit(True))), ("b", stored))]
+    out = [F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_s", "b_s"]
+    few = side(looking.join(crowded, "cell", "left_anti").drop("t", "new"), "a", ["cell"]).join(side(stored.drop("t"), "b", ["cell"]), "cell").where(near).select(*out)
+    split, schema = _split(lexicon, "cell long, node long, s long, d0 long, p long, t string, new boolean")
+    parts = [side(df.join(crowded, "cell", "left_semi").select("cell", *cols, "new").mapInPandas(split, schema).withColumn("key", F.explode("keys")).drop("t"), x, ["cell", "key"]) for x, df in (("a", looking), ("b", stored))]
     # a pair that shares several keys is taken at the first of them
     first = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
     many = parts[0].join(parts[1], ["cell", "key"]).where(near & first).select(*out)
     return few.unionByName(many)
 
 
-def verified(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
+def verified(pairs: DataFrame, fresh: DataFrame, known: DataFrame | None, lexicon: Lexicon) -> DataFrame:
     """a, b of the candidates within the true distance whose words differ in wording only."""
+    texts = fresh.select("s", "t") if known is None else fresh.select("s", "t").unionByName(known.select("s", "t"))
+    pairs = written(pairs, "pairs")  # few, so their size decides how the words are joined to them
+    pairs = pairs.join(texts.select(F.col("s").alias("b_s"), F.col("t").alias("b_t")), "b_s").join(fresh.select(F.col("s").alias("a_s"), F.col("t").alias("a_t")), "a_s")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,7 +219,7 @@ def verified(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
             if any(keep):
                 yield batch.loc[keep, ["a", "b"]]
 
-    return pairs.mapInPandas(verify, "a long, b long").distinct()
+    return pairs.select("a", "b", "a_t", "b_t").mapInPandas(verify, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,8 +246,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def headlines(rows: DataFrame) -> DataFrame:
-    """One row per canonical headline, with the first item that has it. Copies collapse on the map side."""
-    return rows.groupBy("s").agg(F.min("obs_id").alias("first"), *[F.first(c).alias(c) for c in HEAD[2:]])
+    """s, node (the first item that has it), d0, p, t of every canonical headline. Copies collapse on the map side."""
+    return rows.groupBy("s").agg(F.min("obs_id").alias("node"), *[F.first(c).alias(c) for c in ("d0", "p", "t")])
 
 
 def address_links(rows: DataFrame) -> DataFrame:
@@ -257,7 +259,8 @@ def address_links(rows: DataFrame) -> DataFrame:
 STORED = {
     "words": "word string, n long, low long",
     "items": "obs_id long, s long, u long, story long",
-    "heads": "s long, first long, d0 long, p long, t string, raw string, past string, range int",
+    "texts": ITEM_SCHEMA,
+    "heads": "s long, story long, d0 long, p long, t string, range int",
     "merged": "story long, now long",
     "lexicon": "word string, share double, capital boolean",
 }
@@ -266,8 +269,8 @@ STORED = {
 class History:
     """The accepted items in the shared folder, to which batches are compared and appended.
 
-    Tables by batch: ``words`` (counts), ``items`` (obs_id, s, u, story), ``heads`` (in folders by range of the distance),
-    ``merged`` (stories that turned out to be told before), ``lexicon`` (what is ordinary so far; written last). A story is
+    Tables by batch: ``words`` (counts), ``texts`` (titles as they came, with their headlines then), ``items`` (obs_id, s, u,
+    story), ``heads`` (the pivot-distance table, in folders by range of the distance), ``merged`` (stories that turned out to be told before), ``lexicon`` (what is ordinary so far; written last). A story is
     named by the smallest obs_id that tells it. A history may be opened again by its path; a batch that failed is run again
     and replaces what it had written. A ``lexicon`` that is given is kept instead of being learnt.
     """
@@ -330,9 +333,11 @@ class History:
     def _moved(self, stale: DataFrame, lexicon: Lexicon) -> DataFrame:
         """The stored headlines that hold stale words, with their new distances. What they were stays stored: it is found
         less often, and the true distance is taken by the present lexicon anyhow."""
-        heads = self._before("heads")
-        held = heads.select("s", F.explode(F.array_union(F.split("t", " "), F.split("past", " "))).alias("word")).join(stale, "word", "left_semi").select("s").distinct()
-        again = self._present(heads.join(held, "s", "left_semi").select(F.col("first").alias("obs_id"), F.col("raw").alias("title"), F.lit(None).cast("string").alias("url")), "obs_id")
+        texts = self._before("texts").where(F.col("t").isNotNull())
+        held = texts.select("obs_id", F.explode(F.array_union(F.split("t", " "), F.split("past", " "))).alias("word")).join(stale, "word", "left_semi").select("obs_id").distinct()
+        held = written(held, "held")
+        told = self._present(self._before("items").select("obs_id", "story").join(held, "obs_id", "left_semi"), "story")
+        again = texts.select("obs_id", F.col("raw").alias("title")).join(told, "obs_id").select(F.col("story").alias("obs_id"), "title", F.lit(None).cast("string").alias("url"))
         return headlines(item_rows(again, lexicon).where(F.col("t").isNotNull()))
 
     def _known(self, fresh: DataFrame) -> DataFrame:
@@ -341,7 +346,7 @@ class History:
         reached = [r[0] for r in around.select(range_of(F.col("d0"))).distinct().collect()]  # at most RANGES numbers
         cells = around.select(cell_of(F.col("d0")).alias("cell")).distinct()
         heads = self._before("heads").where(F.col("range").isin(reached)).withColumn("cell", cell_of(F.col("d0"))).join(cells, "cell", "left_semi")
-        return self._present(heads.select("s", F.col("first").alias("node"), "d0", "p", "t"), "node")
+        return self._present(heads.select("s", F.col("story").alias("node"), "d0", "p", "t"), "node")
 
     def append(self, items: DataFrame) -> DataFrame:
         """Compare a batch (obs_id, title, url) with all accepted items and with itself, and accept it.
@@ -361,18 +366,18 @@ class History:
             return df
 
         lexicon, stale = self._learn(items)
-        rows = cut(item_rows(items, lexicon), "batch")
+        rows = self._write(item_rows(items, lexicon), "texts")
         # a node is the smallest obs_id of a headline in this batch, or that of an earlier story
-        heads = cut(headlines(rows).withColumn("node", F.col("first")), "heads")
+        heads = cut(headlines(rows), "heads")
         titled, known, told = heads.where(F.col("t").isNotNull()), None, None
         own = rows.where(F.col("u").isNotNull()).select("u", "s").distinct().join(heads.select("s", "node"), "s").select("u", "node")
         if self.batches:
             if stale is not None:
-                titled = cut(titled.unionByName(self._moved(stale, lexicon).withColumn("node", F.col("first"))), "heads")
-            known = self._known(titled)
+                titled = cut(titled.unionByName(self._moved(stale, lexicon)), "heads")
+            known = cut(self._known(titled), "known")
             told = self._before("items").join(own.select("u").distinct(), "u", "left_semi").groupBy("u").agg(F.min("story").alias("node"), F.max("story").alias("other"))
             told = self._present(told.select("u", F.explode(F.array("node", "other")).alias("node")), "node")
-        edges = verified(candidates(titled, known, lexicon), lexicon)
+        edges = verified(candidates(titled, known, lexicon), titled, known, lexicon)
         edges = edges.unionByName(address_links(own if told is None else own.unionByName(told)))
         roots = components(edges.where(F.col("a") != F.col("b")))
         stories = heads.select("s", "node").join(roots, "node", "left").select("s", F.coalesce("root", "node").alias("story"))
@@ -388,10 +393,9 @@ class History:
             out = out.unionByName(again.select(F.col("now").alias("first_obs_id"), "obs_id"))
         else:
             self._write(spark.createDataFrame([], STORED["merged"]), "merged")
-        add = titled.join(roots, "node", "left").withColumn("first", F.coalesce("root", "first"))
+        add = titled.join(roots, "node", "left").select("s", F.coalesce("root", "node").alias("story"), "d0", "p", "t", range_of(F.col("d0")).alias("range"))
         if known is not None:
             add = add.join(known.select("s"), "s", "left_anti")
-        add = add.select(*HEAD, range_of(F.col("d0")).alias("range"))
         self._write(add.repartition(RANGES, "range").sortWithinPartitions("range", "d0"), "heads", "range")
         self.lexicon = lexicon
         self._write(self._words_of(lexicon), "lexicon")
