@@ -232,3 +232,18 @@ def test_repair_of_awkward_tables(spark, clean):
     assert got == {4: SENTENCES[1], 5: SENTENCES[0] * 400, 6: SENTENCES[1]}
     empty = df.limit(0)
     assert E.repair(empty, E.fit_information(empty), ["id"]).count() == 0
+
+
+def test_runs_of_any_length_and_damage_side_by_side(spark):
+    base = ["Le comité a décidé que la réunion déjà prévue était reportée à l’été", "Die Tür war größer als für die Übung nötig", "“Niño” pidió más café mañana según él"] * 8
+    sound = [(i, f"{t} numéro {i}") for i, t in enumerate(base)]
+    long = {n: "".join("äöüß"[i % 4] for i in range(n)) for n in (7, 18, 400)}
+    texts = {}
+    for n, word in long.items():
+        texts[100 + n] = f"le mot {word.encode().decode('latin-1')}é est ici"
+    texts[200] = "le café " + "déjà".encode().decode("cp1252", "replace") + " et l\ufffdt\ufffd"
+    texts[201] = "sound déjà"
+    got = {r.doc_id: r for r in E.repair(spark.createDataFrame([*sound, *((i, f"le mot {w} dit") for i, w in enumerate(long.values(), 300)), *texts.items()], "doc_id long, text string"), E.fit_information(spark.createDataFrame([*sound, *((i, f"le mot {w} dit {k}") for k in range(8) for i, w in enumerate(long.values(), 300)), *texts.items()], "doc_id long, text string")), ["doc_id"]).collect()}
+    for n, word in long.items():
+        assert got[100 + n].restored == f"le mot {word}é est ici"
+    assert got[200].unrestorable and got[200].restored.startswith("le café déjà") and 201 not in got and not any(i < 100 for i in got)

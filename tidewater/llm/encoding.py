@@ -2,8 +2,9 @@
 
 Statistics of adjacent characters are counted over the distinct lines of all documents, so that copies add no evidence. The score of a pair is its pointwise mutual information;
 pairs that some wrong decoding would have made out of one character are set aside when the information is estimated,
-since their counts tell as much about damage as about language. Improbable pairs weigh positively and probable ones
-negatively, and the maximum-scoring segments of a text are the runs in which alone inverse mappings are tried. A repair
+since their counts tell as much about damage as about language, and get the least information. A pair's score is how far
+its information lies below IMPROBABLE; the maximum-scoring segments of a text are the runs in which alone inverse mappings
+are tried. A repair
 counts if it turns the run into valid text whose signs fit their neighbours by the same information.
 """
 
@@ -25,6 +26,7 @@ RIGHT = ("cp1252", "mac_roman", "cp850")
 MENTIONS = re.compile(r"\b(?:signs?|characters?|symbols?|letters?|sequences?|glyphs?|zeichen|symbole?|buchstaben?|signes?|caract[eè]res?|signos?|s[ií]mbolos?|letras?|segn[oi]|simbol[oi]|letter[ae]|caratter[ei])\W{0,3}$", re.IGNORECASE)
 OTHERS = 64
 IMPROBABLE = -3.0
+#: Limits of a pair's score.
 GAIN, LOSS = 6.0, 1.0
 
 
@@ -142,14 +144,16 @@ class Information:
         self.counts = counts
         self.usual = (counts.sum(axis=0) + counts.sum(axis=1) >= 6) & (np.arange(a.size) < a.size - OTHERS)
         self.pmi = (np.log((counts + 0.02) * total) - np.log(first)[:, None] - np.log(second)[None, :]).astype("float32")
-        # only pairs with a sign beyond ASCII can be damage, and those of two such signs that a decoding would join always may
-        self.bad = self.pmi < IMPROBABLE
-        self.bad[np.ix_(a.ids[:128], a.ids[:128])] = False
-        self.bad |= joins
+        # only pairs with a sign beyond ASCII can be damage, and those
+        # that a decoding would join were set aside; replacement and control signs carry no information either
         lost = a.ids[0xFFFD]
         self.lost = int(lost)
-        self.bad[lost, :] = self.bad[:, lost] = True
-        self.bad[a.ids[0x80:0xA0], :] = self.bad[:, a.ids[0x80:0xA0]] = True
+        joins[lost, :] = joins[:, lost] = True
+        joins[a.ids[0x80:0xA0], :] = joins[:, a.ids[0x80:0xA0]] = True
+        self.pmi[joins] = IMPROBABLE - GAIN
+        self.score = np.clip(IMPROBABLE - self.pmi, -LOSS, GAIN)
+        self.score[np.ix_(a.ids[:128], a.ids[:128])] = -LOSS
+        self.bad = self.score > 0
 
     def fits(self, left: str, right: str, least: float = 0.0) -> bool:
         """Whether two characters belong together: information of ``least`` or more on some evidence."""
@@ -166,19 +170,20 @@ class Information:
         ids = alphabet().of(text) if ids is None else ids
         if len(ids) < 2:
             return [(0, 1)] if len(ids) and ids[0] == self.lost else []
-        hits = np.nonzero(self.bad[ids[:-1], ids[1:]])[0]
+        scores = self.score[ids[:-1], ids[1:]]
+        sums = np.concatenate([[0.0], np.cumsum(scores, dtype=float)])
         out: list[tuple[int, int]] = []
-        # between two improbable pairs lie only probable ones, so a segment goes on while its sum stays above zero
+        # between two positive pairs lie only others, so a segment goes on while its sum stays above zero
         begin = end = None
         total = 0.0
-        for h in hits.tolist():
-            if begin is not None and total - LOSS * (h - end - 1) > 0:
-                total += GAIN - LOSS * (h - end - 1)
+        for h in np.nonzero(scores > 0)[0].tolist():
+            if begin is not None and total + sums[h] - sums[end + 1] > 0:
+                total += sums[h + 1] - sums[end + 1]
                 end = h
             else:
                 if begin is not None:
                     out.append((begin, end + 2))
-                begin, end, total = h, h, GAIN
+                begin, end, total = h, h, float(scores[h])
         if begin is not None:
             out.append((begin, end + 2))
         return out
@@ -218,6 +223,27 @@ def _forms(piece: str) -> set[str]:
     return found
 
 
+def _stretches(piece: str) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """The parts of a run whose bytes are whole UTF-8 sequences in some wrong encoding, as long as they go, each with the
+    parts that are one character. A sequence shows where it begins, so one pass per encoding finds them, however long."""
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for codec in WRONG:
+        table = REVERSE[codec]
+        raw = [table.get(ord(c), 0) for c in piece]
+        i, signs = 0, []
+        while i <= len(raw):
+            lead = raw[i] if i < len(raw) else 0
+            size = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
+            if size and i + size <= len(raw) and all(0x80 <= b <= 0xBF for b in raw[i + 1 : i + size]):
+                signs.append((i, i + size))
+                i += size
+                continue
+            if signs:
+                out[signs[0][0], signs[-1][1]] = signs
+            signs, i = [], i + 1
+    return out
+
+
 def _single(piece: str, wrong: str, right: str) -> str | None:
     """``piece`` as the bytes that ``wrong`` read, read by the single-byte encoding ``right``."""
     table = REVERSE[wrong]
@@ -232,45 +258,57 @@ def _fit_share(left: str, fixed: str, right: str, info: Information, least: floa
     return sum(info.fits(x, y, least) for x, y in pairs) / max(1, len(pairs))
 
 
+Change = tuple[int, int, str]
+
+
 class Repairer:
-    """Repairs texts; remembers what became of a piece between two neighbours."""
+    """Repairs texts; remembers what became of a run between two neighbours."""
 
     def __init__(self, info: Information) -> None:
         self.info = info
-        self.known: dict[tuple[str, str, str], tuple[int, int, str, bool] | None] = {}
+        self.known: dict[tuple[str, str, str], list[Change]] = {}
 
-    def piece(self, before: str, piece: str, after: str) -> tuple[int, int, str, bool] | None:
-        """begin and end of the part to replace, its restored form, and whether the following space belongs to it."""
+    def run(self, before: str, piece: str, after: str) -> list[Change]:
+        """begin, end and restored form of the parts of a run to replace; an end beyond the run takes a space with it."""
         key = (before, piece, after)
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[key] = self._piece(before, piece, after)
+            self.known[key] = self._run(before, piece, after)
         return self.known[key]
 
-    def _piece(self, before: str, piece: str, after: str) -> tuple[int, int, str, bool] | None:
-        n, best = len(piece), None
-        alone = not (before.isalnum() or after[:1].isalnum())
-        cuts = [(0, n, "")] + ([(0, n, "\xa0")] if after[:1] == " " and (before.isalpha() or after == "  ") else [])
-        if n <= 24:
-            cuts += [(lo, lo + size, "") for size in range(n - 1, 1, -1) for lo in range(n - size + 1)]
-        for lo, hi, tail in cuts:
-            if best is not None and hi - lo + len(tail) < best[0][0]:
-                break
+    def _run(self, before: str, piece: str, after: str) -> list[Change]:
+        n, alone = len(piece), not (before.isalnum() or after[:1].isalnum())
+
+        def best(lo: int, hi: int, tail: str) -> tuple | None:
             left, right = (piece[lo - 1] if lo else before), (piece[hi] if hi < n else after[:1] if not tail else after[1:])
+            found = None
             for fixed in _forms(piece[lo:hi] + tail):
                 share = _fit_share(left, fixed, right, self.info, -1.5)
                 # inside a word, a sign that the corpus uses elsewhere may stand in a place where it was not seen before
-                if share >= (1.0 if alone else 0.5) or (not alone and self.info.usual[alphabet().of(fixed)].all()):
-                    rank = (hi - lo + len(tail), -len(fixed), share, fixed)
-                    if best is None or rank > best[0]:
-                        best = (rank, (lo, hi, fixed, bool(tail)))
-        return best[1] if best else None
+                # (and three characters in a row are no example of a sign)
+                if share >= (1.0 if alone and len(fixed) < 3 else 0.5) or (not alone and self.info.usual[alphabet().of(fixed)].all()):
+                    found = max(found or (), (hi - lo + len(tail), -len(fixed), share, fixed, lo, hi + len(tail)))
+            return found
+
+        found = []
+        # a byte that stands for a no-break space may have become an ordinary one
+        tails = ["", "\xa0"] if after[:1] == " " and (before.isalpha() or after == "  ") else [""]
+        for tail in tails:
+            for (lo, hi), signs in _stretches(piece + tail).items():
+                whole = best(lo, min(hi, n), tail if hi > n else "")
+                parts = [whole] if whole else [best(a, min(b, n), tail if b > n else "") for a, b in signs] if len(signs) > 1 else []
+                found += [f for f in parts if f]
+        changes: list[Change] = []
+        for _, _, _, fixed, lo, hi in sorted(found, reverse=True):
+            if all(hi <= a or b <= lo for a, b, _ in changes):
+                changes.append((lo, hi, fixed))
+        return sorted(changes)
 
     def __call__(self, text: str) -> tuple[str, int, bool]:
         """The text with all restorable runs restored, the number of restored pieces, and whether damage is left."""
-        info, out, last, done, left = self.info, [], 0, 0, False
-        runs = []
+        info, left = self.info, False
+        runs: list[tuple[int, int]] = []
         for begin, end in info.segments(text):
             for m in _HIGH.finditer(text, begin, end):
                 a, b = m.span()
@@ -280,27 +318,26 @@ class Repairer:
                     b += 1
                 if not runs or a >= runs[-1][1]:
                     runs.append((a, b))
-        kept = []
+        changes, kept = [], []
         for a, b in runs:
-            piece = text[a:b]
-            found = self.piece(text[max(0, a - 1) : a], piece, text[b : b + 2] if text[b : b + 2] == "  " else text[b : b + 1])
-            if found is None:
-                if "\ufffd" in piece:
-                    left |= not _mentioned(text, a, b)
-                else:
-                    kept.append((a, b))
-                continue
-            lo, hi, fixed, eaten = found
-            out += [text[last : a + lo], fixed]
-            last = a + hi + (1 if eaten else 0)
-            done += 1
-        out.append(text[last:])
-        if not done and kept:
-            text, done = self._single_bytes(text, kept)
-            return text, done, left
-        return "".join(out), done, left
-
-    def _single_bytes(self, text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+            found = self.run(text[max(0, a - 1) : a], text[a:b], text[b : b + 2] if text[b : b + 2] == "  " else text[b : b + 1])
+            changes += [(a + lo, a + hi, fixed) for lo, hi, fixed in found]
+            rest = text[a:b] if not found else "".join(text[a:b][x:y] for x, y in zip([0, *(hi for _, hi, _ in found)], [*(lo for lo, _, _ in found), b - a]))
+            if "\ufffd" in rest:
+                left |= not _mentioned(text, a, b)
+            elif not found:
+                kept.append((a, b))
+        changes += (single := self._single_bytes(text, kept)) if kept else (single := [])
+        mended = {(a, b) for a, b, _ in single}
+        # control signs stand in no sound text
+        left |= any("\x80" <= c <= "\x9f" for a, b in kept if (a, b) not in mended for c in text[a:b])
+        out, last = [], 0
+        for a, b, fixed in sorted(changes):
+            out += [text[last:a], fixed]
+            last = b
+        return "".join([*out, text[last:]]), len(changes), left
+
+    def _single_bytes(self, text: str, runs: list[tuple[int, int]]) -> list[Change]:
         """One wrong single-byte encoding for another: the mapping under which most runs gain, if clearly all do."""
         info, best = self.info, None
         for wrong in WRONG:
@@ -321,13 +358,7 @@ class Repairer:
                         fixes.append((a, b, fixed))
                 if won >= 2 and won >= 0.6 * len(runs) and gain > 4.0 * won and (best is None or (won, gain) > best[:2]):
                     best = (won, gain, fixes)
-        if best is None:
-            return text, 0
-        out, last = [], 0
-        for a, b, fixed in best[2]:
-            out += [text[last:a], fixed]
-            last = b
-        return "".join([*out, text[last:]]), len(best[2])
+        return best[2] if best else []
 
 
 def _mentioned(text: str, a: int, b: int) -> bool:
@@ -342,7 +373,7 @@ def repair(df: DataFrame, info: Information, keys: list[str]) -> DataFrame:
 
     restored is the whole text with every run restored that an inverse mapping explains, of any length. Texts that are
     NULL, empty, in ASCII, or rightly use unusual signs, entities or cited signs have no row. unrestorable says that
-    replacement signs are left. Equal texts get equal rows; further columns are ignored.
+    replacement or control signs are left, also beside restored runs. Equal texts get equal rows; further columns are ignored.
     """
     kinds = dict(df.dtypes)
 
