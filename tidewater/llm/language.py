@@ -2,8 +2,9 @@
 
 All languages share one array of bytes. A slot's byte has a bit for each language that put an n-gram there, so a lookup of
 an n-gram reads a few bytes and their AND is the set of all languages that contain it. A word's hits are counted per
-language, corrected for the hits that the filter's filling gives by chance, and turned into log shares; a title goes to
-the language with the largest sum, or to two languages where a cut raises the sum enough.
+language, corrected for the hits that the filter's filling gives by chance, and turned into log shares; a text goes to the
+languages of the sequence of segments with the largest sum, where every cut has to raise it enough. A segment of which
+the best language knows too few n-grams is in another language.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SLOTS, HASHES = 1 << 20, 3
 
 
 def grams(word: str) -> list[str]:
-    """The word itself and its runs of 2 to 4 letters with the ends marked."""
+    """The word itself and its runs of 3 to 5 signs, the marked ends included."""
     w = f"^{word}$"
     return [w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1) if n < len(w))]
 
@@ -63,14 +64,14 @@ class Filters:
         return mask
 
     def shares(self, word: str) -> list[float]:
-        """Log shares of the languages for one word; equal ones tell nothing."""
+        """Log shares of the languages for one word (equal ones tell nothing), and the share of its n-grams that each knows."""
         g = grams(word)
         masks = np.array([self.languages(x) for x in g], dtype="uint8")
         weight = np.array([3.0 if len(x) == len(word) + 2 else 1.0 for x in g])
         hits = ((masks[:, None] >> np.arange(len(LANGUAGES))) & 1) * weight[:, None]
         counts = np.maximum(0.0, (hits.sum(axis=0) - weight.sum() * self.chance) / (1 - self.chance))
         p = (counts + 0.5) / (counts.sum() + 0.5 * len(LANGUAGES))
-        return np.log(p * len(LANGUAGES)).tolist()
+        return [*np.log(p * len(LANGUAGES)), *np.minimum(1.0, counts / weight.sum())]
 
 
 def fit_filters(samples: DataFrame, labelled: DataFrame | None = None, *, rows_per_language: int = 20_000, kept_share: float = 0.15) -> Filters:
@@ -116,32 +117,85 @@ def label_language(c: Column) -> Column:
 
 
 SEGMENT_SCHEMA = "segment int, parts int, begin int, end int, detected string, confidence double"
-
-
-def detect(df: DataFrame, column: str, keys: list[str], filters: Filters, *, gain: float = 6.0, least_words: int = 4) -> DataFrame:
+#: What a segment in none of the languages is given.
+OTHER = "other"
+
+
+def _best_run(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of every text the largest sum of a run of words in one other language over the text's best language."""
+    best = np.zeros(len(sizes))
+    total = np.add.reduceat(np.vstack([x, np.zeros((1, x.shape[1]))]), starts, axis=0) if len(starts) else np.zeros((0, x.shape[1]))
+    total[sizes == 0] = 0.0
+    lead = total.argmax(axis=1)
+    run = np.zeros((len(sizes), x.shape[1]))
+    order = np.argsort(-sizes, kind="stable")
+    left = len(order)
+    for k in range(int(sizes.max(initial=0))):
+        while left and sizes[order[left - 1]] <= k:
+            left -= 1
+        at = order[:left]
+        row = x[starts[at] + k]
+        run[at] = np.maximum(0.0, run[at] + row - row[np.arange(left), lead[at]][:, None])
+        best[at] = np.maximum(best[at], run[at].max(axis=1))
+    return best
+
+
+def segmented(x: np.ndarray, gain: float, least: int) -> list[tuple[int, int, int]]:
+    """begin, end, language of the segments of a text of words x languages: the largest sum less ``gain`` for every cut,
+    with at least ``least`` words in each segment."""
+    n, languages = x.shape
+    if n < 2 * least:
+        return [(0, n, int(x.sum(axis=0).argmax()) if n else 0)]
+    cum = np.vstack([np.zeros((1, languages)), np.cumsum(x, axis=0)])
+    value = np.full((n + 1, languages), -np.inf)
+    start = np.zeros((n + 1, languages), dtype=int)
+    come = np.full((n + 1, languages), -1)
+    value[least] = cum[least]
+    for k in range(least + 1, n + 1):
+        value[k], start[k], come[k] = value[k - 1] + x[k - 1], start[k - 1], come[k - 1]
+        if k >= 2 * least:
+            best = value[k - least]
+            lead = int(best.argmax())
+            cut = best[lead] - gain + cum[k] - cum[k - least]
+            cut[lead] = -np.inf
+            better = cut > value[k]
+            value[k, better], start[k, better], come[k, better] = cut[better], k - least, lead
+    out, end, lang = [], n, int(value[n].argmax())
+    while lang >= 0:
+        begin = int(start[end, lang])
+        out.append((begin, end, lang))
+        end, lang = begin, int(come[end, lang])
+    return out[::-1]
+
+
+def detect(df: DataFrame, column: str, keys: list[str], filters: Filters, *, gain: float = 6.0, least_words: int = 4, known: float = 0.2) -> DataFrame:
     """keys, segment, parts, begin, end, detected, confidence: one row per text, or one per language segment.
 
-    begin and end are character positions in the text with entities resolved and without an outlet at its end. A text has
-    two languages if some cut raises the sum of log shares by ``gain`` with ``least_words`` words on either side and at
-    least half the gain in each part. Texts that are NULL have no row; texts without letters or without any known n-gram
-    have language NULL and confidence 0. Confidence is the share of the best language against the runner-up.
+    begin and end are character positions in the text with entities resolved and without an outlet at its end. A text is
+    cut, as often as it pays, where the sum of log shares rises by ``gain`` for each cut with ``least_words`` words in each
+    part (dynamic programming over the words). Texts that are NULL have no row; texts without letters or without any known
+    n-gram have language NULL and confidence 0. Confidence is the share of the best language against the runner-up, times
+    the share of the segment's n-grams that the best language knows against twice ``known``, if that is less; below
+    ``known`` the segment is OTHER.
     """
-    kinds = dict(df.dtypes)
+    kinds, width = dict(df.dtypes), len(LANGUAGES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
-        table, used = np.zeros((1 << 14, len(LANGUAGES))), 0
+        table, used = np.zeros((1 << 14, 2 * width)), 0
         for batch in batches:
             texts = [OUTLET.sub("", unescaped(t)) for t in batch[column]]
+            if not texts:
+                continue
             ids, sizes = [], []
-            known = memo.get
+            get = memo.get
             for text in texts:
                 found = WORD.findall(text)
                 for raw in found:
-                    i = known(raw)
+                    i = get(raw)
                     if i is None:
                         w = folded(raw)
-                        i = known(w)
+                        i = get(w)
                         if i is None:
                             if used == len(table):
                                 table = np.vstack([table, np.zeros_like(table)])
@@ -152,56 +206,33 @@ def detect(df: DataFrame, column: str, keys: list[str], filters: Filters, *, gai
                     ids.append(i)
                 sizes.append(len(found))
             sizes = np.array(sizes, dtype=int)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            x = table[ids] if ids else np.zeros((0, len(LANGUAGES)))
-            cum = np.vstack([np.zeros((1, len(LANGUAGES))), np.cumsum(x, axis=0)])
-            total = cum[ends] - cum[starts]
-            single = total.max(axis=1)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            cut = np.full(len(texts), -1)
-            if len(owner):
-                left = cum[1:] - cum[starts[owner]]
-                right = total[owner] - left
-                better = left.max(axis=1) + right.max(axis=1) - single[owner]
-                here = np.arange(len(owner)) - starts[owner] + 1
-                one = left.max(axis=1) - left[np.arange(len(owner)), right.argmax(axis=1)]
-                two = right.max(axis=1) - right[np.arange(len(owner)), left.argmax(axis=1)]
-                ok = (here >= least_words) & (sizes[owner] - here >= least_words) & (better >= gain) & (np.minimum(one, two) >= gain)
-                better = np.where(ok, better, -1.0)
-                order = np.lexsort((here, -better, owner))
-                first = order[np.searchsorted(owner[order], np.arange(len(texts)), side="left").clip(max=len(owner) - 1)]
-                hit = (owner[first] == np.arange(len(texts))) & (better[first] > 0)
-                cut[hit] = here[first][hit]
-            rows, seg, count, begin, end = [], [], [], [], []
-            low, high = [], []
-            for i in range(len(texts)):
-                if cut[i] < 0:
+            starts = np.cumsum(sizes) - sizes
+            x = table[ids] if ids else np.zeros((0, 2 * width))
+            cum = np.vstack([np.zeros((1, 2 * width)), np.cumsum(x, axis=0)])
+            # only where a run of words is better off in another language than the text can a cut pay
+            mixed = (_best_run(x[:, :width], starts, sizes) >= gain) & (sizes >= 2 * least_words)
+            rows, seg, count, begin, end, low, high = [], [], [], [], [], [], []
+            for i, text in enumerate(texts):
+                parts = segmented(x[starts[i] : starts[i] + sizes[i], :width], gain, least_words) if mixed[i] else [(0, sizes[i], 0)]
+                places = [0, *([m.start() for m in WORD.finditer(text)][p[0]] for p in parts[1:]), len(text)] if len(parts) > 1 else [0, len(text)]
+                for k, (a, b, _) in enumerate(parts):
                     rows.append(i)
-                    seg.append(0)
-                    count.append(1)
-                    begin.append(0)
-                    end.append(len(texts[i]))
-                    low.append(starts[i])
-                    high.append(ends[i])
-                    continue
-                place = [m.start() for m in WORD.finditer(texts[i])][cut[i]]
-                rows += [i, i]
-                seg += [0, 1]
-                count += [2, 2]
-                begin += [0, place]
-                end += [place, len(texts[i])]
-                low += [starts[i], starts[i] + cut[i]]
-                high += [starts[i] + cut[i], ends[i]]
-            score = cum[high] - cum[low] if rows else np.zeros((0, len(LANGUAGES)))
+                    seg.append(k)
+                    count.append(len(parts))
+                    begin.append(places[k])
+                    end.append(places[k + 1])
+                    low.append(starts[i] + a)
+                    high.append(starts[i] + b)
+            low, high = np.array(low), np.array(high)
+            sums = cum[high] - cum[low]
+            score, top = sums[:, :width], sums[:, :width].argmax(axis=1)
+            held = sums[np.arange(len(top)), width + top] / np.maximum(1, high - low)
             ordered = np.sort(score, axis=1)
             lead = np.minimum(50.0, ordered[:, -1] - ordered[:, -2])
             sure = lead > 1e-9
-            names = np.array(LANGUAGES, dtype=object)[score.argmax(axis=1)]
+            names = np.where(held < known, OTHER, np.array(LANGUAGES, dtype=object)[top])
             lang = [n if ok else None for n, ok in zip(names, sure)]
-            conf = np.where(sure, 1 / (1 + np.exp(-lead)), 0.0)
-            if not rows:
-                continue
+            conf = np.where(sure, 1 / (1 + np.exp(-lead)) * np.minimum(1.0, held / (2 * known)), 0.0)
             out = {k: batch[k].to_numpy()[rows] for k in keys}
             yield pd.DataFrame(out | {"segment": np.array(seg, dtype="int32"), "parts": np.array(count, dtype="int32"), "begin": np.array(begin, dtype="int32"), "end": np.array(end, dtype="int32"), "detected": lang, "confidence": conf})
             if used > 800_000 or len(memo) > 1_500_000:

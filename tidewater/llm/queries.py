@@ -45,10 +45,10 @@ def p3_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles whose label is missing or wrong, and every language of titles in two languages."""
-    rows = p3_segments(spark, sf).where(F.col("detected").isNotNull())
+    """Titles whose label is missing or wrong, and every language of titles in several languages."""
+    rows = p3_segments(spark, sf).where(F.col("detected").isin(*language.LANGUAGES))
     declared = language.label_language(F.col("declared"))
-    return rows.where((F.col("parts") > 1) | declared.isNull() | (declared != F.col("detected"))).select("obs_id", F.col("detected").alias("lang"))
+    return rows.where((F.col("parts") > 1) | declared.isNull() | (declared != F.col("detected"))).select("obs_id", F.col("detected").alias("lang")).distinct()
 
 
 def p4_terms(spark: SparkSession, sf: str) -> DataFrame:
