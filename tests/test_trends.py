@@ -185,9 +185,11 @@ def test_nested_snapshots_flatten_and_publish(spark, tmp_path):
     assert [(r.term, r["count"]) for r in store.flat_terms(snapshots).collect()] == [("kelp fair", 2)]
     assert [r.status for r in store.flat_status(snapshots).collect()] == ["EMPTY"]
     out = f"file://{tmp_path}/latest"
-    for n in (1, 2):
+    for n in (1, 2, 3, 4):
         store.publish_json(spark, spark.range(n), out)
-    assert spark.read.json(out).count() == 2
+        # readers go by the pointer, which names a whole version at any time; the one before it stays for those still reading
+        assert spark.read.json(store.published_path(spark, out)).count() == n
+    assert len([f for f in (tmp_path / "latest").iterdir() if f.is_dir()]) == 2
 
 
 def test_stream_into_history_is_repeatable(spark, tmp_path, sf):
@@ -199,6 +201,31 @@ def test_stream_into_history_is_repeatable(spark, tmp_path, sf):
     assert rows.agg(F.sum("count")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
+def test_stream_rewrites_only_the_days_it_touches(spark, tmp_path):
+    path, source = f"file://{tmp_path}/daily", tmp_path / "in"
+    schema = spark.createDataFrame([], "event_id long, ts timestamp, event_type string").schema
+
+    def arrive(k, rows):
+        spark.createDataFrame([(i, dt.datetime(2025, 1, d, 9), t) for i, d, t in rows], schema).write.parquet(f"file://{source}/part{k}")
+        stream = S.arriving(spark, f"file://{source}/*", schema)
+        S.to_history(S.daily_counts(S.deduplicated(stream)), path, f"file://{tmp_path}/check")
+        return {(r.day.day, r.term): r["count"] for r in S.read_history(spark, path).collect()}
+
+    assert arrive(1, [(1, 6, "a"), (2, 6, None), (3, 7, "a")]) == {(6, "a"): 1, (6, None): 1, (7, "a"): 1}
+    before = sorted(f.name for f in (tmp_path / "daily/day=2025-01-06").glob("*.parquet"))
+    assert arrive(2, [(4, 7, "a"), (5, 7, "b"), (3, 7, "a")]) == {(6, "a"): 1, (6, None): 1, (7, "a"): 2, (7, "b"): 1}
+    assert before == sorted(f.name for f in (tmp_path / "daily/day=2025-01-06").glob("*.parquet"))
+
+
+def test_entities_digits_and_other_extractors(spark):
+    texts = ["caf&eacute; &amp;eacute; d&#8217;or&rsquo; &unknown; &lt;b&gt;", "no entity", None, ""]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(P.unescaped(F.col("t")).alias("t")).collect()]
+    assert got == ["café &eacute; d’or’ &unknown; <b>", "no entity", None, ""]
+    df = spark.createDataFrame([(1, "tidal kelp² survey fair", "x")], "obs_id int, title string, term string")
+    assert {r.term for r in O.exploded(df, ["obs_id"]).collect()} == {"survey fair"}
+    assert [r.term for r in O.exploded(df, ["obs_id"], lambda t: F.split(t, " ")).collect()] == ["tidal", "kelp²", "survey", "fair"]
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

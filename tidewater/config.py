@@ -80,3 +80,6 @@ class Themes:
     count: int = 2
     smoothing: int = 80
     top: int = 20
+
+#: Every theme there is, whether it has phrases or not.
+THEME_IDS = sorted({*(name for name, _ in THEME_PATTERNS), *DOMAIN_THEMES.values(), OTHER_THEME})

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewater.config import STOP_WORDS
 
 TOKEN = r"([\p{L}\p{Nl}\p{No}][\p{L}\p{N}_-]{2,39})"
 
+#: A digit of any kind: decimal ones, and those that are digits without being decimal (superscripts, circled ones and so on).
+DIGIT = r"[\p{Nd}" + "".join(f"\\x{{{c:x}}}" for c in range(0x110000) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd") + "]"
+
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens: a letter and 2 to 39 more letters, digits, underscores or hyphens; shorter words vanish."""
@@ -26,7 +34,7 @@ def phrases(text: Column, sizes: Sequence[int] = (2, 3), stop: Sequence[str] = S
     def of_size(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
         groups = F.transform(starts, lambda i: F.slice(words, i, n))
-        clean = F.filter(groups, lambda g: ~F.arrays_overlap(g, banned) & ~F.exists(g, lambda w: w.rlike(r"\p{Nd}")))
+        clean = F.filter(groups, lambda g: ~F.arrays_overlap(g, banned) & ~F.exists(g, lambda w: w.rlike(DIGIT)))
         return F.transform(clean, lambda g: F.array_join(g, " "))
 
     return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
@@ -42,11 +50,14 @@ def without_publisher(title: Column) -> Column:
     return stripped(F.regexp_replace(title, r"(?s)^(.*) - .*$", "$1"))
 
 
+@F.pandas_udf(StringType())
+def _resolved(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
 def unescaped(text: Column) -> Column:
-    """The five entities that every feed uses; the ampersand last, so that none is resolved twice."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+    """``text`` with all named and numeric entities resolved once. Only texts with an ampersand go through Python."""
+    return F.coalesce(_resolved(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def scheme(url: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,9 +48,9 @@ def documents_by(dedup: DataFrame, keys: list[str]) -> DataFrame:
     return dedup.groupBy(*keys).agg(F.count("*").alias("documents"))
 
 
-def exploded(dedup: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per document and distinct phrase."""
-    return dedup.select(*keep, F.explode(phrases(F.col("title"))).alias("term"))
+def exploded(dedup: DataFrame, keep: list[str], extract: Callable[[Column], Column] = phrases) -> DataFrame:
+    """One row per document and distinct phrase; ``extract`` makes an array of phrases out of a title."""
+    return dedup.select(*keep, F.explode(extract(F.col("title"))).alias("term"))
 
 
 def terms_by(dedup: DataFrame, keys: list[str]) -> DataFrame:

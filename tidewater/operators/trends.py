@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewater.operators.observations import first_links
 from tidewater.config import DOMAIN_THEMES, NOISE_PATTERN, NOISE_PHRASES, OTHER_THEME, THEME_PATTERNS, Acceleration, Growth, Themes
 
 EDGE_BEFORE, EDGE_AFTER = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
@@ -90,6 +91,15 @@ def preview(terms: DataFrame, as_of: date, count: int = 2, top: int = 5) -> Data
     return ranked(today, ["source"], [F.desc("mentions_today"), F.asc("term")], top)
 
 
+def evidence(chart: DataFrame, linked: DataFrame, keys: list[str], order: list[Column], links: int) -> DataFrame:
+    """``chart`` with ``links``: the first ``links`` distinct addresses of each entry in the given order, joined by spaces.
+
+    linked: the keys, what ``order`` needs, and ``url``, one row per address. Only the chart's own entries are looked at."""
+    own = linked.join(chart.select(*keys).distinct(), keys, "left_semi")
+    found = first_links(own, keys, order, links).withColumn("links", F.array_join("links", " "))
+    return chart.join(found, keys, "left").withColumn("links", F.coalesce("links", F.lit("")))
+
+
 # --- domains -----------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tidewater.config import DOMAIN_THEMES, NOISE_PATTERN, NOISE_PHRASES, OTHER_THEME, STOP_WORDS, THEME_PATTERNS
+from tidewater.config import THEME_IDS, DOMAIN_THEMES, NOISE_PATTERN, NOISE_PHRASES, OTHER_THEME, STOP_WORDS, THEME_PATTERNS
+from tidewater.functions.phrases import DIGIT
 from tidewater.operators.trends import bounded
+from tidewater.plans import connectors
 
 WHITE = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TERM = rf"trim(regexp_replace(lower(nfc_normalize(term)), '{WHITE}+', ' ', 'g'))"
@@ -75,13 +77,13 @@ _DOM = f"bydom AS (SELECT obs_id, title, url, source, family, coalesce(domain, '
 _TOKENS = r"list_filter(regexp_extract_all(lower(title), '[\p{L}\p{Nl}\p{No}][\p{L}\p{N}_-]{2,39}'), lambda t: NOT regexp_full_match(t, '\p{N}+'))"
 
 
-def _phrases(of: str, keep: str) -> str:
+def _phrases(of: str, keep: str, sizes: tuple[int, ...] = (2, 3)) -> str:
     """A CTE ``ph`` with one row per row of ``of`` and distinct phrase."""
     stop = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
-    groups = ", ".join(f"list_transform(range(1, len(t) - {n - 2}), lambda i: list_slice(t, i, i + {n - 1}))" for n in (2, 3))
+    groups = ", ".join(f"list_transform(range(1, len(t) - {n - 2}), lambda i: list_slice(t, i, i + {n - 1}))" for n in sizes)
     return rf"""tok AS (SELECT {keep}, {_TOKENS} AS t FROM {of} WHERE title IS NOT NULL),
 grp AS (SELECT {keep}, list_concat({groups}) AS g FROM tok),
-ph AS (SELECT {keep}, unnest(list_distinct(list_transform(list_filter(g, lambda x: NOT list_has_any(x, {stop}) AND NOT regexp_matches(array_to_string(x, ' '), '\p{{Nd}}')), lambda x: array_to_string(x, ' ')))) AS term FROM grp)"""
+ph AS (SELECT {keep}, unnest(list_distinct(list_transform(list_filter(g, lambda x: NOT list_has_any(x, {stop}) AND NOT regexp_matches(array_to_string(x, ' '), '{DIGIT}')), lambda x: array_to_string(x, ' ')))) AS term FROM grp)"""
 
 
 _THEME = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(term)), '{bounded(p)}') THEN '{name}'" for name, p in THEME_PATTERNS) + " ELSE CASE domain " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in DOMAIN_THEMES.items()) + f" ELSE '{OTHER_THEME}' END END"
@@ -106,6 +108,11 @@ moves AS (SELECT *, r0 - r1 AS v, r0 - 2 * r1 + r2 AS a FROM rates WHERE documen
 rows_ AS (SELECT source, term, round(a, 3) AS acceleration, round(v, 3) AS velocity, round(r2, 3) AS rate_early, round(r1, 3) AS rate_middle, round(r0, 3) AS rate_recent, n0 AS mentions_7d, active AS active_days_7d FROM moves WHERE v > 0 AND a > 0),
 chart AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY acceleration DESC, mentions_7d DESC, term)::INTEGER AS rank FROM rows_ QUALIFY rank <= 5)"""
 
+_LINKED = """linked AS (SELECT source, day, term, unnest(links) AS link, unnest(range(1, len(links) + 1))::INTEGER AS pos FROM linked_rows)"""
+_LINKED = f"""linked_raw AS (SELECT source, {DAY} AS day, {TERM} AS term, count::DOUBLE AS n, links, collected_at_utc FROM snapshot_terms),
+linked_rows AS (SELECT * FROM (SELECT * FROM linked_raw WHERE day IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, day, term ORDER BY collected_at_utc DESC, n DESC NULLS LAST, links DESC NULLS LAST) = 1) WHERE n > 0),
+{_LINKED}"""
+
 _THEMED = f"""{DOCS}, {TERMS},
 themed AS (SELECT {_THEME} AS theme, source, day, term, count, count * 10000.0::DOUBLE / (documents + 80) AS rate FROM (
     SELECT t.*, d.documents, coalesce(s.domain, 'news') AS domain FROM terms t JOIN docs d USING (source, day) LEFT JOIN source_def s ON s.id = t.source
@@ -155,10 +162,6 @@ _VOL = "SELECT symbol, CASE WHEN count(step) FILTER (n <= 19) >= 10 THEN round(s
 _FALL = "SELECT symbol, round(least(0.0, min(fall)), 3) AS max_drawdown_90d_pct FROM (SELECT symbol, (close / max(close) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING) - 1) * 100 AS fall FROM num WHERE n <= 90) GROUP BY symbol"
 _AGE = f"WITH {_CLOSES}, last AS (SELECT symbol, max(day) AS day FROM closes GROUP BY symbol), aged AS (SELECT symbol, day, CASE WHEN date_diff('day', day, (SELECT max(day) FROM closes)) <= 5 THEN 'CURRENT_DAILY' ELSE 'STALE' END AS status FROM last)"
 
-_UNESCAPED = "title"
-for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', '{_sign}')"
-
 _TUMBLING = "SELECT ts::DATE AS day, event_type AS term, count(*) AS count FROM events GROUP BY ALL"
 
 SQL = {
@@ -168,7 +171,7 @@ SQL = {
     "p6_totals": _ROLL + " SELECT measure, source, term, day, total7::DOUBLE AS total7, average7::DOUBLE AS average7, total30::DOUBLE AS total30, average30::DOUBLE AS average30 FROM kept",
     "recency_filter": "SELECT obs_id FROM observation WHERE family = 'trend_feed' OR published IS NULL OR published >= collected_at_utc - INTERVAL 3 DAY",
     "strip_publisher": r"SELECT obs_id, CASE WHEN family = 'news_agg' THEN regexp_replace(regexp_replace(title, '^(.*) - .*$', '\1', 's'), '^\s+|\s+$', '', 'g') ELSE title END AS title FROM observation",
-    "unescape_titles": f"SELECT obs_id, {_UNESCAPED} AS title FROM observation WHERE title IS NOT NULL",
+    "unescape_titles": f"SELECT obs_id, {connectors.unescaped_sql('title')} AS title FROM observation WHERE title IS NOT NULL",
     "url_parts": "SELECT obs_id, lower(regexp_extract(ltrim(url), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(ltrim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM observation WHERE url IS NOT NULL",
     "url_quote": f"WITH {TERMS} SELECT DISTINCT term, replace(url_encode(term), '%2F', '/') AS path FROM terms",
     "published_text": "SELECT obs_id, epoch(published)::BIGINT AS published_s FROM observation WHERE published IS NOT NULL",
@@ -180,7 +183,7 @@ SQL = {
     "obs_union": "SELECT family, count(*) AS observations, count(title) AS titles FROM observation GROUP BY family",
     "source_docs": f"WITH {_SRC}, n AS (SELECT source, count(*) AS documents FROM bysrc GROUP BY source) SELECT id AS source, coalesce(documents, 0) AS documents FROM source_def LEFT JOIN n ON n.source = id",
     "source_terms": f"WITH {_SRC}, {_phrases('bysrc', 'source')} SELECT source, term, count(*) AS count FROM ph GROUP BY ALL",
-    "domain_docs": f"WITH {_DOM} SELECT domain, count(*) AS documents FROM bydom GROUP BY domain",
+    "domain_docs": f"WITH {_DOM}, n AS (SELECT domain, count(*) AS documents FROM bydom GROUP BY domain), every_one AS (SELECT coalesce(domain, 'news') AS domain FROM source_def UNION SELECT domain FROM n) SELECT domain, coalesce(documents, 0) AS documents FROM every_one LEFT JOIN n USING (domain)",
     "domain_terms": f"WITH {_DOM}, {_phrases('bydom', 'domain, family')} SELECT domain, term, count(*) AS count, string_agg(DISTINCT family, ',' ORDER BY family) AS families FROM ph GROUP BY ALL",
     "term_links": f"WITH {_SRC}, {_phrases('bysrc', 'source, url, obs_id')}, f AS (SELECT source, term, url, min(obs_id) AS first_at FROM ph GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source, term ORDER BY first_at, url) AS n FROM f) SELECT source, term, string_agg(url, ' ' ORDER BY n) AS links FROM r WHERE n <= 3 GROUP BY ALL",
     "history_overlay": f"WITH {DOCS} SELECT day, source, CASE WHEN day = (SELECT d FROM last_of_all) THEN 2 * documents ELSE documents END AS documents FROM docs",
@@ -201,7 +204,7 @@ SQL = {
     "theme_billboard": f"WITH {_THEMED}, {STATUS}, {_complete('c0', 0)}, {_complete('c1', 1)}, common AS (SELECT source FROM c0 INTERSECT SELECT source FROM c1), {_charts('common')} SELECT theme, term, score, mentions, source_count, rank, previous_rank, movement, status FROM final",
     "chart_movement": f"WITH {_THEMED}, every_one AS (SELECT id AS source FROM source_def), {_charts('every_one')} SELECT theme, term, rank, previous_rank, movement, status FROM final",
     "run_status": f"WITH {STATUS} SELECT day, count(*) AS checked, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status IS NULL OR status NOT IN ('OK', 'EMPTY')) AS unavailable, bool_or(coalesce(status <> 'OK', true)) AS partial FROM stat GROUP BY day",
-    "run_summary": f"WITH {_DOM} SELECT count(*) AS observations, count(DISTINCT source) AS sources, count(DISTINCT domain) AS domains FROM bydom",
+    "run_summary": f"WITH {_DOM}, {_CHART} SELECT count(*) AS observations, count(DISTINCT source) AS sources, count(DISTINCT domain) AS domains, (SELECT count(*) FROM stat WHERE day = (SELECT max(day) FROM stat) AND (status IS NULL OR status NOT IN ('OK', 'EMPTY'))) AS unavailable_sources, (SELECT count(DISTINCT source) FROM chart) AS boards FROM bydom",
     "price_clean": f"WITH {_CLOSES} SELECT symbol, day, close FROM closes",
     "market_sma": f"WITH {_CLOSES} {_SMA}",
     "market_return": f"WITH {_CLOSES} {_RET}",
@@ -213,7 +216,21 @@ SQL = {
     "market_coverage": _AGE + " SELECT count(*) FILTER (status = 'CURRENT_DAILY') AS current, count(*) AS symbols FROM aged",
     "daily_tumbling": _TUMBLING,
     "stream_daily": _TUMBLING,
-    "feed_items": "SELECT * FROM (VALUES ('a', 0::INTEGER, 'Copper & kelp audit', 'https://a.example/1', 1736157600::BIGINT), ('b', 0::INTEGER, 'Tidal survey', 'https://b.example/1', 1736238600::BIGINT)) v(id, pos, title, url, published_s)",
+    "title_grams": f"WITH {_phrases('observation', 'obs_id', (1, 2, 3, 4))} SELECT obs_id, term FROM ph",
+    "accel_full_window": f"WITH {_CHART.replace('observed_days >= 15', 'observed_days >= 21')} SELECT * FROM chart",
+    "board_state_full": f"WITH {_CHART.replace('observed_days >= 15', 'observed_days >= 21')} SELECT source, CASE WHEN documents_today = 0 THEN 'NO_DATA' WHEN observed_days < 21 THEN 'INSUFFICIENT_HISTORY' WHEN d0 < 35 THEN 'INSUFFICIENT_VOLUME' WHEN source IN (SELECT source FROM chart) THEN 'RANKED_EXPLORATORY' ELSE 'NO_POSITIVE_ACCELERATION' END AS state, observed_days, documents_today FROM days",
+    "chart_links": f"""WITH {_CHART}, {_LINKED}, at_ AS (SELECT source, term, rank, link, min((date_diff('day', day, DATE '2100-01-01'), pos)) AS first_at FROM chart JOIN linked USING (source, term)
+        WHERE day <= (SELECT d FROM last_of_all) AND day > (SELECT d FROM last_of_all) - 7 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY source, term ORDER BY first_at, link) AS n FROM at_),
+        l AS (SELECT source, term, string_agg(link, ' ' ORDER BY n) AS links FROM n WHERE n <= 3 GROUP BY ALL) SELECT source, term, rank, coalesce(links, '') AS links FROM chart LEFT JOIN l USING (source, term)""",
+    "theme_evidence": f"""WITH {_THEMED}, {_LINKED}, week_ AS (SELECT * FROM themed WHERE day <= (SELECT d FROM last_of_all) AND day > (SELECT d FROM last_of_all) - 7),
+        m AS (SELECT theme, term, source, avg(rate) AS mean, sum(count) AS n FROM week_ GROUP BY ALL), scored AS (SELECT theme, term, round(avg(mean), 3) AS score, sum(n) AS mentions, count(*) AS source_count, string_agg(source, ' ' ORDER BY source) AS source_ids FROM m GROUP BY theme, term),
+        top AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY score DESC, source_count DESC, mentions DESC, term)::INTEGER AS rank FROM scored QUALIFY rank <= 20),
+        at_ AS (SELECT w.theme, w.term, link, min((w.day, w.source, pos)) AS first_at FROM week_ w JOIN top USING (theme, term) JOIN linked k ON k.source = w.source AND k.day = w.day AND k.term = w.term WHERE pos <= 3 GROUP BY ALL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY theme, term ORDER BY first_at, link) AS n FROM at_), l AS (SELECT theme, term, string_agg(link, ' ' ORDER BY n) AS links FROM n WHERE n <= 4 GROUP BY ALL)
+        SELECT theme, term, rank, source_ids, coalesce(links, '') AS links FROM top LEFT JOIN l USING (theme, term)""",
+    "theme_entries": f"WITH {_THEMED}, week_ AS (SELECT DISTINCT theme, term FROM themed WHERE day <= (SELECT d FROM last_of_all) AND day > (SELECT d FROM last_of_all) - 7), all_ AS (SELECT unnest([{', '.join(repr(t) for t in THEME_IDS)}]) AS theme), n AS (SELECT theme, least(20, count(*)) AS entries FROM week_ GROUP BY theme) SELECT theme, coalesce(entries, 0) AS entries FROM all_ LEFT JOIN n USING (theme)",
+    "domain_health": f"WITH {STATUS} SELECT coalesce(s.domain, 'news') AS domain, count(*) AS sources, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status = 'EMPTY') AS empty, count(*) FILTER (status IS NOT NULL AND status NOT IN ('OK', 'EMPTY')) AS unavailable FROM source_def s LEFT JOIN (SELECT * FROM stat WHERE day = (SELECT max(day) FROM stat)) h ON h.source = s.id GROUP BY 1",
+    **connectors.SQL,
 }
 
 #: Twins whose rows have a day; days are compared as text.

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.config import OTHER_DOMAIN
+from tidewater.config import OTHER_DOMAIN, THEME_IDS
 from tidewater.functions import phrases as P
 from tidewater.functions.days import figure, parse_day
 from tidewater.functions.terms import term_key
@@ -17,9 +16,9 @@ from tidewater.operators import market as M
 from tidewater.operators import observations as O
 from tidewater.operators import trends as T
 from tidewater.operators.latest import latest_by
+from tidewater.plans import connectors
 from tidewater.plans.series import counted_snapshots
 from tidewater.runtime import new_path, table
-from tidewater.sources import feeds
 from tidewater.streaming import events as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +48,13 @@ def terms(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("count") > 0).withColumn("count", F.col("count").cast("long"))
 
 
+def linked_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """source, day, term, pos, url of every address that stands for a counted phrase."""
+    raw = table(spark, sf, "snapshot_terms").select("source", parse_day(F.col("date")).alias("day"), term_key(F.col("term")).alias("term"), figure(F.col("count")).alias("count"), "links", "collected_at_utc")
+    rows = latest_by(raw.where(F.col("day").isNotNull()), ["source", "day", "term"], [F.col("collected_at_utc")], ["count", "links"])
+    return rows.where(F.col("count") > 0).select("source", "day", "term", F.posexplode("links").alias("pos", "url"))
+
+
 def statuses(spark: SparkSession, sf: str) -> DataFrame:
     """source, day, status of the last check of a day."""
     checks = table(spark, sf, "source_health").select("source", F.to_date("checked_at").alias("day"), "checked_at", F.upper(P.stripped(F.col("status"))).alias("status"))
@@ -76,6 +82,54 @@ def accel_top5(spark: SparkSession, sf: str) -> DataFrame:
     return T.accelerating(_days(spark, sf, as_of), T.term_weeks(terms(spark, sf), as_of), GATES)
 
 
+def accel_full_window(spark: SparkSession, sf: str) -> DataFrame:
+    """The chart with the operator's own gate: all 21 days observed."""
+    as_of = last_day(spark, sf)
+    return T.accelerating(_days(spark, sf, as_of), T.term_weeks(terms(spark, sf), as_of))
+
+
+def board_state_full(spark: SparkSession, sf: str) -> DataFrame:
+    as_of = last_day(spark, sf)
+    days = _days(spark, sf, as_of)
+    return T.board_states(days, T.accelerating(days, T.term_weeks(terms(spark, sf), as_of)))
+
+
+def chart_links(spark: SparkSession, sf: str) -> DataFrame:
+    """source, term, rank, links: up to three addresses of the last week for every chart entry, those of the newest day first."""
+    as_of = last_day(spark, sf)
+    linked = T.in_last(linked_terms(spark, sf), as_of, 7)
+    return T.evidence(accel_top5(spark, sf).select("source", "term", "rank"), linked, ["source", "term"], [F.datediff(F.lit(as_of), "day"), F.col("pos")], 3)
+
+
+def theme_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """theme, term, rank, source_ids, links (up to four, in order of day and source) of the week's first twenty per theme."""
+    as_of = last_day(spark, sf)
+    week = T.in_last(_theme_days(spark, sf), as_of, 7)
+    order = [F.desc("score"), F.desc("source_count"), F.desc("mentions"), F.asc("term")]
+    top = T.ranked(T.theme_scores(week), ["theme"], order, 20).select("theme", "term", "rank")
+    own = week.join(top.select("theme", "term"), ["theme", "term"], "left_semi")
+    ids = own.groupBy("theme", "term").agg(F.array_join(F.array_sort(F.collect_set("source")), " ").alias("source_ids"))
+    linked = own.select("theme", "source", "day", "term").join(linked_terms(spark, sf).where(F.col("pos") < 3), ["source", "day", "term"])
+    return T.evidence(top.join(ids, ["theme", "term"]), linked, ["theme", "term"], [F.col("day"), F.col("source"), F.col("pos")], 4)
+
+
+def theme_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """theme, entries of every theme, also of those without any phrase in the last week."""
+    week = T.in_last(_theme_days(spark, sf), last_day(spark, sf), 7).select("theme", "term").distinct()
+    counts = week.groupBy("theme").agg(F.least(F.lit(20), F.count("*")).cast("long").alias("entries"))
+    every = spark.createDataFrame([(t,) for t in THEME_IDS], "theme string")
+    return every.join(counts, "theme", "left").select("theme", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))
+
+
+def domain_health(spark: SparkSession, sf: str) -> DataFrame:
+    """domain, sources, ok, empty, unavailable: the registered sources of each domain by their status on the last checked day."""
+    status = statuses(spark, sf)
+    today = status.where(F.col("day") == F.lit(status.agg(F.max("day")).first()[0])).select("source", "status")
+    named = sources(spark, sf).select(F.col("id").alias("source"), F.coalesce("domain", F.lit(OTHER_DOMAIN)).alias("domain")).join(today, "source", "left")
+    s = F.col("status")
+    return named.groupBy("domain").agg(F.count("*").alias("sources"), F.count_if(s == "OK").alias("ok"), F.count_if(s == "EMPTY").alias("empty"), F.count_if(~s.isin("OK", "EMPTY")).alias("unavailable"))
+
+
 def board_state(spark: SparkSession, sf: str) -> DataFrame:
     as_of = last_day(spark, sf)
     days = _days(spark, sf, as_of)
@@ -116,7 +170,10 @@ def domain_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def domain_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return O.documents_by(by_domain(spark, sf), ["domain"])
+    """Documents of every domain that a source is registered for, or that occurs; 0 where there are none."""
+    counts = O.documents_by(by_domain(spark, sf), ["domain"])
+    every = sources(spark, sf).select(F.coalesce("domain", F.lit(OTHER_DOMAIN)).alias("domain")).union(counts.select("domain")).distinct()
+    return every.join(counts, "domain", "left").select("domain", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
 
 
 def term_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,9 +238,14 @@ def run_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """One line over everything: observations, sources with documents, non-empty domains."""
-    d = by_domain(spark, sf)
-    return d.agg(F.count("*").alias("observations"), F.countDistinct("source").alias("sources"), F.countDistinct("domain").alias("domains"))
+    """One line over everything: observations, sources with documents, non-empty domains, unavailable sources of the last
+    checked day, source charts with entries."""
+    d, status = by_domain(spark, sf), statuses(spark, sf)
+    last = status.groupBy("day").agg(F.count_if(~F.coalesce(F.col("status").isin("OK", "EMPTY"), F.lit(False))).alias("n")).agg(F.max_by("n", "day").alias("unavailable_sources"))
+    counts = d.agg(F.count("*").alias("observations"), F.countDistinct("source").alias("sources"), F.countDistinct("domain").alias("domains"))
+    boards = accel_top5(spark, sf).agg(F.countDistinct("source").alias("boards"))
+    one = F.lit(1).alias("one")  # three tables of one row each
+    return counts.select("*", one).join(last.select("*", one), "one").join(boards.select("*", one), "one").drop("one")
 
 
 def history_overlay(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,24 +297,11 @@ def daily_tumbling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """The same counts, from the file stream with deduplication state."""
+    """The same counts, from the file stream with deduplication state, through the daily table."""
     stream = S.arriving(spark, sf, _events(spark, sf).schema, "events.parquet")
-    name = f"daily_{uuid.uuid4().hex}"
-    S.to_table(S.daily_counts(S.deduplicated(stream)), new_path(spark, "stream"), name)
-    return spark.table(name)
-
-
-FEEDS = (
-    ("a", "<rss><channel><item><title>Copper &amp;amp; <b>kelp</b> audit</title><link>https://a.example/1</link><pubDate>Mon, 06 Jan 2025 10:00:00 GMT</pubDate></item><item><title></title><link>https://a.example/2</link></item><item><title>No address</title><link>mailto:x</link></item></channel></rss>"),
-    ("b", '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Tidal survey</title><link href="https://b.example/1"/><updated>2025-01-07T08:30:00Z</updated></entry></feed>'),
-    ("c", "<rss><channel><item>"),
-)
-
-
-def feed_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Items of landed feed documents: RSS, Atom where there is no RSS item, nothing of broken ones."""
-    rows = feeds.feed_items(spark.createDataFrame(list(FEEDS), "id string, payload string"))
-    return rows.select("id", "pos", "title", "url", F.unix_timestamp("published").alias("published_s"))
+    path = new_path(spark, "stream_daily")
+    S.to_history(S.daily_counts(S.deduplicated(stream)), path, new_path(spark, "stream"))
+    return S.read_history(spark, path)
 
 
 QUERIES: dict[str, Query] = {
@@ -303,5 +352,12 @@ QUERIES: dict[str, Query] = {
     "market_coverage": market_coverage,
     "daily_tumbling": daily_tumbling,
     "stream_daily": stream_daily,
-    "feed_items": feed_items,
+    "title_grams": lambda s, d: O.exploded(obs(s, d), ["obs_id"], lambda title: P.phrases(title, (1, 2, 3, 4))),
+    "accel_full_window": accel_full_window,
+    "board_state_full": board_state_full,
+    "chart_links": chart_links,
+    "theme_evidence": theme_evidence,
+    "theme_entries": theme_entries,
+    "domain_health": domain_health,
+    **connectors.QUERIES,
 }

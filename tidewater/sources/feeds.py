@@ -20,26 +20,33 @@ ATOM = "{http://www.w3.org/2005/Atom}"
 ITEM_SCHEMA = "pos int, title string, url string, published string"
 
 
-def _rss(root: ET.Element) -> list[tuple[str, str, str | None]]:
-    out = []
-    for item in root.iter("item"):
-        node = item.find("title")
-        title = html.unescape("".join(node.itertext())).strip() if node is not None else ""
-        url = (item.findtext("link") or "").strip()
-        if title and url.startswith("http"):
-            out.append((title, url, item.findtext("pubDate")))
-    return out
-
-
-def _atom(root: ET.Element) -> list[tuple[str, str, str | None]]:
-    out = []
-    for entry in root.iter(f"{ATOM}entry"):
-        node, link = entry.find(f"{ATOM}title"), entry.find(f"{ATOM}link")
-        title = "".join(node.itertext()).strip() if node is not None else ""
-        url = link.get("href", "") if link is not None else ""
-        if title and url.startswith("http"):
-            out.append((title, url, entry.findtext(f"{ATOM}published") or entry.findtext(f"{ATOM}updated")))
-    return out
+#: Element of an item: its title, its link, the link's attribute that holds the address (None: its text), its times.
+FORMS = {
+    "item": ("title", "link", None, ("pubDate",)),
+    f"{ATOM}entry": (f"{ATOM}title", f"{ATOM}link", "href", (f"{ATOM}published", f"{ATOM}updated")),
+}
+
+
+def _items(payload: str) -> list[tuple[str, str, str | None]]:
+    """title, url, time of the usable items of one document, read in one pass of parser events; RSS before Atom."""
+    found: dict[str, list] = {name: [] for name in FORMS}
+    parser = ET.XMLPullParser(("end",))
+    parser.feed(payload)
+    parser.close()
+    for _, node in parser.read_events():
+        if node.tag not in FORMS:
+            continue
+        title, link, attribute, times = FORMS[node.tag]
+        parts = {child.tag: child for child in reversed(node)}  # the first of each
+        text = "".join(parts[title].itertext()) if title in parts else ""
+        place = parts.get(link)
+        url = "" if place is None else place.get(attribute, "") if attribute else place.text or ""
+        if attribute is None:
+            text = html.unescape(text)
+        if text and url.startswith("http"):
+            found[node.tag].append((text, url, next((parts[t].text for t in times if t in parts and parts[t].text), None)))
+        node.clear()
+    return next((rows for rows in found.values() if rows), [])
 
 
 def feed_items(payloads: DataFrame, max_items: int = 500) -> DataFrame:
@@ -55,10 +62,9 @@ def feed_items(payloads: DataFrame, max_items: int = 500) -> DataFrame:
             rows = []
             for key, payload in zip(batch["id"], batch["payload"]):
                 try:
-                    root = ET.fromstring(payload)
+                    rows += [(key, i, *item) for i, item in enumerate(_items(payload)[:max_items])]
                 except (ET.ParseError, TypeError, ValueError):
                     continue
-                rows += [(key, i, *item) for i, item in enumerate((_rss(root) or _atom(root))[:max_items])]
             yield pd.DataFrame(rows, columns=["id", "pos", "title", "url", "published"])
 
     parsed = payloads.select("id", "payload").mapInPandas(parse, f"id {kind}, {ITEM_SCHEMA}")

@@ -7,6 +7,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.runtime import drop_path, folders
+
+#: The file that names the published version.
+POINTER = "CURRENT"
 SNAPSHOT = "date string, schema_version int, sources map<string, struct<documents bigint, terms map<string, struct<count bigint, links array<string>>>>>, source_health array<struct<source string, status string>>"
 
 
@@ -49,12 +53,23 @@ def flat_status(snapshots: DataFrame) -> DataFrame:
 
 
 def publish_json(spark: SparkSession, table: DataFrame, path: str) -> None:
-    """Publish a table as one JSON-lines folder: written aside first, then renamed, so readers see old or new, never half."""
-    aside = f"{path}.next"
-    table.write.mode("overwrite").json(aside)
+    """Publish a table as JSON lines: a version's folder is written whole, then the pointer file that names it is replaced
+    by one rename, so a reader of the pointer always finds a whole version, the old or the new one. The last two stay."""
+    versions = [v for v in folders(spark, path) if v.startswith("version=")]
+    name = f"version={int(versions[-1].partition('=')[2]) + 1 if versions else 1:08d}"
+    table.write.mode("overwrite").json(f"{path}/{name}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
-    files = new.getFileSystem(conf)
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"could not publish {path}")
+    new, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{file}") for file in ("_next", POINTER))
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, pointer, options)
+    for old in versions[:-1]:
+        drop_path(spark, f"{path}/{old}")
+
+
+def published_path(spark: SparkSession, path: str) -> str:
+    """The folder of the version that the pointer names."""
+    return f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}"
