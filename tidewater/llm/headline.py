@@ -209,7 +209,7 @@ def word_counts(titles: DataFrame) -> DataFrame:
 
 
 def grown_lexicon(counts: DataFrame, before: Lexicon | None = None, *, lower_share: float = 3e-5, any_share: float = 3e-3, established: float = ESTABLISHED) -> Lexicon:
-    """The lexicon of summed :func:`word_counts`; words and labels of the lexicon ``before`` stay.
+    """The lexicon of :func:`word_counts`, one or several of them; words and labels of the lexicon ``before`` stay.
 
     A word is ordinary if it stands in lower case inside mixed-case titles in the share ``lower_share`` of titles (2 at
     least), or in any form in the share ``any_share`` (6 at least). So there are at most words-per-title / ``lower_share``
@@ -218,7 +218,8 @@ def grown_lexicon(counts: DataFrame, before: Lexicon | None = None, *, lower_sha
     n = counts.where(F.col("word") == TITLES_MARK).agg(F.sum("n")).first()[0] or 0
     least_low, least_any = max(2, lower_share * n), max(6, any_share * n)
     crosses = (F.col("low") >= least_low) | (F.col("n") >= F.when(F.col("word").startswith(LABEL_MARK), least_low).otherwise(least_any))
-    rows = counts.where(crosses & (F.col("word") != TITLES_MARK)).collect()
+    summed = counts.where(F.col("word") != TITLES_MARK).groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
+    rows = summed.where(crosses).collect()
     words = {r.word: r for r in rows if r.word[0] != LABEL_MARK}
     shares = {w: r.n / n for w, r in words.items()}
     capital = {w for w, r in words.items() if r.low < 0.5 * r.n}

@@ -304,7 +304,7 @@ class History:
             return before, None
         counts = self._write(word_counts(items), "words")
         if self.batches:
-            counts = self._before("words").unionByName(counts).groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
+            counts = self._before("words").unionByName(counts)
         lexicon = grown_lexicon(counts, before)
         if not self.batches:
             return lexicon, None
