@@ -40,8 +40,10 @@ def unescaped(title: str) -> str:
 
 
 def split_label(title: str) -> tuple[str, str]:
-    """A leading label of up to three words without figures ("Update: ...") in plain form, and the rest."""
-    m = LABEL.match(title)
+    """A leading label of up to three words without figures ("Update: ...") in plain form, and the rest; of an
+    :func:`unescaped` title."""
+    # looking for a sign is much cheaper than the pattern, which needs one of these
+    m = LABEL.match(title) if ":" in title or " -" in title or ". " in title or "|" in title or "–" in title or "—" in title else None
     if not m or len(title) - m.end() < 12:
         return "", title
     return " ".join(_plain_word(w) for w in WORD.findall(m.group(1))), title[m.end() :]
@@ -80,6 +82,11 @@ def url_key(url: str | None) -> str | None:
     return f"{key}?{'&'.join(kept)}" if kept else key
 
 
+def without_outlet(title: str) -> str:
+    """An :func:`unescaped` title without the outlet of up to three words that it ends with."""
+    return OUTLET.sub("", title) if " - " in title or " — " in title or " | " in title or " – " in title else title
+
+
 def _cuts(word: str) -> set[str]:
     """The word, and the word without any one letter: words one slip apart have one of these in common."""
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
@@ -139,7 +146,7 @@ class Lexicon:
         label, rest = split_label(text)
         if label and label in self.labels:
             text = rest
-        raw = WORD.findall(OUTLET.sub("", text))
+        raw = WORD.findall(without_outlet(text))
         if not raw:
             return [], label, []
         # the first word, and all words of titles in one case, tell nothing by their capitals

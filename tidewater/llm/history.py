@@ -373,7 +373,7 @@ class History:
         own = rows.where(F.col("u").isNotNull()).select("u", "s").distinct().join(heads.select("s", "node"), "s").select("u", "node")
         if self.batches:
             if stale is not None:
-                titled = cut(titled.unionByName(self._moved(stale, lexicon)), "heads")
+                titled = titled.unionByName(cut(self._moved(stale, lexicon), "moved"))
             known = cut(self._known(titled), "known")
             told = self._before("items").join(own.select("u").distinct(), "u", "left_semi").groupBy("u").agg(F.min("story").alias("node"), F.max("story").alias("other"))
             told = self._present(told.select("u", F.explode(F.array("node", "other")).alias("node")), "node")
