@@ -187,3 +187,39 @@ def test_a_hot_story_keeps_its_reworded_copies(spark):
 def test_components_of_chains(spark, chain):
     edges = spark.createDataFrame([(i + 1, i) for i in range(chain)] + [(100, 101)], "a long, b long")
     assert {r.node: r.root for r in H.components(edges).collect()} == {i: 0 for i in range(chain + 1)} | {100: 100, 101: 100}
+
+
+def test_stored_words_are_not_shuffled_to_meet_the_few_stale_ones(spark, monkeypatch):
+    plans, kept = {}, H.written
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString()
+        return kept(df, label)
+
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)).capitalize()
+    first = [(i, f"{name()} opens a trial near {name()}", None) for i in range(2, 600)] + [(1, "Flabrex opens a kelp trial near Tudok", None)]
+    second = [(1000 + i, f"{name()} opens a kelp trial near {name()}", None) for i in range(8)] + [(2000, "Flabrex opens a trial near Tudok", None)]
+    store = H.History(spark)
+    assert pairs_of(store.append(spark.createDataFrame(first, SCHEMA))) == set()
+    monkeypatch.setattr(H, "written", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        found = pairs_of(store.append(spark.createDataFrame(second, SCHEMA)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {(1, 2000)}
+    assert "BroadcastHashJoin" in plans["held"] and "SortMergeJoin" not in plans["held"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([*WORDS, "flabrex", "7"]), max_size=60), st.integers(0, 400))
+def test_placed_counts_every_word(words, more):
+    lex = lexicon()
+    words = words + ["kelp"] * more
+    light = [w for w in words if lex.ordinary(w)]
+    heavy = sum(L.weight(w) for w in words if not lex.ordinary(w))
+    d0, packed = H.placed(words, H.Places(lex))
+    assert d0 == H.SCALE * heavy + len(light)
+    assert [packed >> 4 * i & 15 for i in range(H.PIVOTS)] == [min(15, sum(L.part_of(w, H.PIVOTS) == i for w in light)) for i in range(H.PIVOTS)]

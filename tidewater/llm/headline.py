@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
+#: The same for texts of ASCII signs, in which it is found faster.
+ASCII_WORD = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[A-Za-z]+")
 LABEL = re.compile(r"^\W*((?:[^\W\d_]+[^\w|:–—.]{1,2}){0,2}[^\W\d_]+)(?:\s*[:|–—]|\s+-(?=\s)|\.(?=\s))\s*(?=\S)")
 OUTLET = re.compile(r"\s[-–—|]\s+\S+(?:\s+\S+){0,2}\s*$")
 #: The share of titles from which an ordinary word is established.
@@ -30,6 +32,11 @@ def _plain_word(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).casefold()
 
 
+def words_of(text: str) -> list[str]:
+    """The words and figures of a text as they are written."""
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
+
+
 def unescaped(title: str) -> str:
     """Entities resolved (also doubly written ones), signs composed, white space runs as one space."""
     if "&" in title:
@@ -132,7 +139,11 @@ class Lexicon:
         """
         if word in self.shares or not word.isalpha() or len(word) < 4:
             return word
-        near = {w for cut in _cuts(word) for w in self.cuts.get(cut, ())}
+        near = set(self.cuts.get(word, ()))
+        for i in range(len(word)):
+            # most words are near to none
+            if cut := self.cuts.get(word[:i] + word[i + 1 :]):
+                near.update(cut)
         found = [w for w in near if (not as_name or w in self.capital) and one_slip(word, w)]
         return max(found, key=lambda w: (self.shares[w], w)) if found else word
 
@@ -146,7 +157,7 @@ class Lexicon:
         label, rest = split_label(text)
         if label and label in self.labels:
             text = rest
-        raw = WORD.findall(without_outlet(text))
+        raw = words_of(without_outlet(text))
         if not raw:
             return [], label, []
         # the first word, and all words of titles in one case, tell nothing by their capitals
@@ -155,7 +166,7 @@ class Lexicon:
         out = [plain.get(raw[0]) or self._form(raw[0], False)]
         known = cased if mixed else plain
         out += [known.get(w) or self._form(w, mixed) for w in raw[1:]]
-        return out, label, [self.slips[w] for w in raw if w in self.slips]
+        return out, label, [self.slips[w] for w in filter(self.slips.__contains__, raw)]
 
     def _form(self, raw: str, mixed: bool) -> str:
         kept = self.forms[mixed]
@@ -200,7 +211,7 @@ def word_counts(titles: DataFrame) -> DataFrame:
                 label, rest = split_label(text)
                 if label:
                     labels[label] += 1
-                raw = WORD.findall(text)
+                raw = words_of(text)
                 total.update({w.lower() if w.isascii() else _plain_word(w) for w in raw if not w[0].isdigit()})
                 if not text.isupper() and not text.islower() and any(w[0].isupper() for w in raw[1:]):
                     lower.update({w if w.isascii() else _plain_word(w) for w in raw if w.islower()})

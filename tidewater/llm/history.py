@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,27 +39,41 @@ CROWDED = 200
 #: Summed weights of identifying words are kept modulo this, so that distances of headlines of any length fit 64 bits. Within
 #: RADIUS these sums are equal, so they stay equal and nothing is lost; what meets by chance is refused by the true distance.
 MODULUS = 1 << 56
+#: Where weights begin in the sums of places: no headline has more ordinary words than fit below.
+WEIGHT_AT = 4 * PIVOTS + 60
 #: Folders of the stored distances; the sums of weights are spread evenly over them.
 RANGES = 16
 RANGE_BITS = (SCALE * MODULUS).bit_length() - 1 - (RANGES.bit_length() - 1)
 ITEM_SCHEMA = "obs_id long, s long, u long, d0 long, p long, t string, raw string, past string"
+ROW_TYPES = {c: pa.int64() if kind == "long" else pa.string() for c, kind in map(str.split, ITEM_SCHEMA.split(", "))}
 
 
-def placed(words: list[str], lexicon: Lexicon) -> tuple[int, int]:
+class Places(dict):
+    """By word what it adds to one number: from the lowest bits up the words shared with each of the pivots, the ordinary
+    words, and the weights of identifying words."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        at = self[word] = 1 << 4 * PIVOTS | 1 << 4 * part_of(word, PIVOTS) if self.lexicon.ordinary(word) else weight(word) << WEIGHT_AT
+        return at
+
+
+def placed(words: list[str], places: Places) -> tuple[int, int]:
     """Distance to the empty headline, and the packed numbers of words shared with the other pivots (at most 15 are told
     apart, which still bounds differences from below)."""
-    heavy = light = 0
-    shared = [0] * PIVOTS
-    for w in words:
-        if lexicon.ordinary(w):
-            light += 1
-            shared[part_of(w, PIVOTS)] += 1
-        else:
-            heavy += weight(w)
+    summed = sum(map(places.__getitem__, words))
+    heavy, light, packed = summed >> WEIGHT_AT, (summed & (1 << WEIGHT_AT) - 1) >> 4 * PIVOTS, summed & (1 << 4 * PIVOTS) - 1
+    if light > 15:
+        # a class may have run over its four bits, and into the number of words
+        ordinary = [w for w in words if not places[w] >> WEIGHT_AT]
+        shared = Counter(part_of(w, PIVOTS) for w in ordinary)
+        light, packed = len(ordinary), sum(min(n, 15) << 4 * i for i, n in shared.items())
     heavy = (heavy - 1) % MODULUS + 1 if heavy else 0
-    packed = 0
-    for n in reversed(shared):
-        packed = packed << 4 | min(n, 15)
     return SCALE * heavy + light, packed
 
 
@@ -70,24 +85,24 @@ def item_rows(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     is no address.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(lexicon)
         for batch in batches:
             out = []
-            for obs, title, url in zip(batch["obs_id"].tolist(), batch["title"], batch["url"]):
-                address = url_key(url) if isinstance(url, str) else None
+            for obs, title, url in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("obs_id", "title", "url"))):
+                address = url_key(url) if url is not None else None
                 u = key64("a " + address) if address else None
-                words, label, slips = lexicon.parsed(title) if isinstance(title, str) else ([], "", [])
+                words, label, slips = lexicon.parsed(title) if title is not None else ([], "", [])
                 if not words:
                     out.append((obs, u if u is not None else key64(f"o {obs}"), u, None, 0, None, None, None))
                     continue
-                d0, p = placed(words, lexicon)
+                d0, p = placed(words, places)
                 text = " ".join(words)
                 out.append((obs, key64(text), u, d0, p, text, title, " ".join([LABEL_MARK + label.replace(" ", "_"), *slips])))
-            kinds = {"obs_id": "int64", "s": "int64", "u": "Int64", "d0": "Int64", "p": "int64", "t": object, "raw": object, "past": object}
-            # column by column: a missing key must not turn the others into floating point numbers
-            yield pd.DataFrame({k: pd.array(list(v), dtype=kind) for (k, kind), v in zip(kinds.items(), zip(*out))} if out else {k: pd.array([], dtype=kind) for k, kind in kinds.items()})
+            if out:
+                yield pa.record_batch([pa.array(column, kind) for column, kind in zip(zip(*out), ROW_TYPES.values())], names=list(ROW_TYPES))
 
-    return items.select("obs_id", "title", "url").mapInPandas(rows, ITEM_SCHEMA)
+    return items.select(F.col("obs_id").cast("long"), F.col("title").cast("string"), F.col("url").cast("string")).mapInArrow(rows, ITEM_SCHEMA)
 
 
 def operations(a: list[str], b: list[str]) -> list[tuple[list[str], list[str], bool]]:
@@ -208,7 +223,8 @@ def verified(pairs: DataFrame, fresh: DataFrame, known: DataFrame | None, lexico
     """a, b of the candidates within the true distance whose words differ in wording only."""
     texts = fresh.select("s", "t") if known is None else fresh.select("s", "t").unionByName(known.select("s", "t"))
     pairs = written(pairs, "pairs")  # few, so their size decides how the words are joined to them
-    pairs = pairs.join(texts.select(F.col("s").alias("b_s"), F.col("t").alias("b_t")), "b_s").join(fresh.select(F.col("s").alias("a_s"), F.col("t").alias("a_t")), "a_s")
+    # the same words for either side, so that they are shuffled once; a headline that is fresh and known only gives its pairs again
+    pairs = pairs.join(texts.select(F.col("s").alias("b_s"), F.col("t").alias("b_t")), "b_s").join(texts.select(F.col("s").alias("a_s"), F.col("t").alias("a_t")), "a_s")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -323,7 +339,7 @@ class History:
             for batch in batches:
                 yield batch.loc[[stale(w) for w in batch["word"]]]
 
-        return lexicon, counts.where(F.col("word") != TITLES_MARK).select("word").mapInPandas(pick, "word string").select(F.replace("word", F.lit(" "), F.lit("_")).alias("word"))
+        return lexicon, counts.where(F.col("word") != TITLES_MARK).select("word").mapInPandas(pick, "word string").select(F.replace("word", F.lit(" "), F.lit("_")).alias("word")).distinct()
 
     def _present(self, df: DataFrame, column: str) -> DataFrame:
         """``df`` with the stories in ``column`` replaced by those that they were merged into."""
@@ -333,11 +349,13 @@ class History:
     def _moved(self, stale: DataFrame, lexicon: Lexicon) -> DataFrame:
         """The stored headlines that hold stale words, with their new distances. What they were stays stored: it is found
         less often, and the true distance is taken by the present lexicon anyhow."""
+        # each is written, so that its size is known before all stored words or titles are shuffled to meet it
+        stale = written(stale, "stale")
         texts = self._before("texts").where(F.col("t").isNotNull())
         held = texts.select("obs_id", F.explode(F.array_union(F.split("t", " "), F.split("past", " "))).alias("word")).join(stale, "word", "left_semi").select("obs_id").distinct()
         held = written(held, "held")
         told = self._present(self._before("items").select("obs_id", "story").join(held, "obs_id", "left_semi"), "story")
-        again = texts.select("obs_id", F.col("raw").alias("title")).join(told, "obs_id").select(F.col("story").alias("obs_id"), "title", F.lit(None).cast("string").alias("url"))
+        again = texts.select("obs_id", F.col("raw").alias("title")).join(held, "obs_id", "left_semi").join(told, "obs_id").select(F.col("story").alias("obs_id"), "title", F.lit(None).cast("string").alias("url"))
         return headlines(item_rows(again, lexicon).where(F.col("t").isNotNull()))
 
     def _known(self, fresh: DataFrame) -> DataFrame:
